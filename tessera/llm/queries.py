@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, secret_scan, toxicity
+from tessera.llm import bpe, mixing, secret_scan, toxicity
 from tessera.llm.common import table
 
 
@@ -24,7 +24,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer or bpe.default_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op5_toxicity, op8_mixing)
+    f.__name__: f for f in (op1_secret_scan, op5_toxicity, op8_mixing, op10_bpe)
 }
 ORACLES: dict[str, str] = {"op8_mixing": mixing.MIX_SQL}

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over the distinct words of a text is trained in numpy from confirmed toxic texts and unlabelled
+A linear classifier over the distinct words of a text and their beginnings is trained in numpy from confirmed toxic texts and unlabelled
 text. With class prior p and logistic loss l, the risk p*E_pos[l(+)] + max(0, E_unl[l(-)] - p*E_pos[l(-)]) is
 minimised; where its second part turns negative, the step climbs that part back instead (the non-negative correction).
 Training reads a bounded sample of texts (Settings.positives and Settings.unlabelled, taken in hash order); scoring is
@@ -9,6 +9,7 @@ a narrow map over every whole text.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from typing import NamedTuple
@@ -27,41 +28,65 @@ class Settings(NamedTuple):
 
     positives: int = 4096
     unlabelled: int = 12288
-    features: int = 2048
+    features: int = 1024
     least_positives: int = 5
+    least_z: float = 4.0
     steps: int = 400
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 3e-4
     folds: int = 4
     held: int = 2
     cut: float = 0.3
 
 
+#: Lengths of the beginnings of longer words that are features too, as compounds share them.
+BEGINNINGS = (4, 5, 7)
+#: Words whose weight a Python worker remembers.
+REMEMBERED = 100_000
+
+
+def features_of(word: str) -> list[int]:
+    """Hashes of a lower-case word and of its beginnings."""
+    return [zlib.crc32(w.encode("utf-8", "replace")) for w in (word, *(f"^{word[:n]}" for n in BEGINNINGS if len(word) > n))]
+
+
 def words_of(text: str | None) -> list[int]:
-    """Hashes of the distinct lower-case letter runs of a text, ascending; none for null."""
-    return sorted({zlib.crc32(w.encode("utf-8", "replace")) for w in set(LETTERS.findall((text or "").lower()))})
+    """The feature hashes of the distinct lower-case letter runs of a text, ascending; none for null."""
+    return sorted(f for w in set(LETTERS.findall((text or "").lower())) for f in features_of(w))
+
 
+class Model:
+    """P(toxic) = sigmoid(bias + the sum of the feature weights of a text's distinct words)."""
 
-class Model(NamedTuple):
-    """P(toxic) = sigmoid(bias + the sum of the weights of a text's distinct words)."""
+    def __init__(self, weights: dict[int, float], bias: float):
+        self.weights, self.bias, self.known = weights, bias, {}
 
-    weights: dict[int, float]
-    bias: float
+    def weigh(self, words: set[str]) -> float:
+        known, get, total = self.known, self.weights.get, []
+        for w in words:
+            x = known.get(w)
+            if x is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                x = known[w] = sum(get(f, 0.0) for f in features_of(w))
+            if x:
+                total.append(x)
+        return math.fsum(total)  # exact, so that the order of the set is of no matter
 
     def score(self, text: str | None) -> float:
-        get = self.weights.get
-        g = self.bias + sum(get(zlib.crc32(w.encode("utf-8", "replace")), 0.0) for w in set(LETTERS.findall((text or "").lower())))
-        return float(1 / (1 + np.exp(-np.clip(g, -40, 40))))
+        g = self.bias + self.weigh(set(LETTERS.findall((text or "").lower())))
+        return 1 / (1 + math.exp(-min(max(g, -40.0), 40.0)))
 
 
 def choose(pos: list[np.ndarray], unl: list[np.ndarray], s: Settings) -> np.ndarray:
     """The words whose document frequencies differ most, in standard errors, between positive and unlabelled texts."""
     ids, inv = np.unique(np.concatenate([*pos, *unl]), return_inverse=True)
     n = sum(map(len, pos))
-    a, b = np.bincount(inv[:n], minlength=len(ids)), np.bincount(inv[n:], minlength=len(ids))
+    first = np.concatenate([np.diff(d, prepend=-1) > 0 for d in [*pos, *unl]])  # a feature counts once for a text here
+    a, b = (np.bincount(inv[part], weights=first[part], minlength=len(ids)) for part in (slice(n), slice(n, None)))
     p, q = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (len(unl) + 1)
     z = np.abs(p - q) / np.sqrt(p * (1 - p) / (len(pos) + 1) + q * (1 - q) / (len(unl) + 1))
-    z[a < s.least_positives] = 0
+    z[(a < s.least_positives) | (z < s.least_z)] = 0
     best = np.lexsort((ids, -z))[: s.features]
     return np.sort(ids[best[z[best] > 0]])
 
