@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mixing, secret_scan, toxicity
+from tessera.llm import bpe, jaccard_join, mixing, secret_scan, toxicity
 from tessera.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(docs, secret_scan.scan(docs))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -29,6 +33,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op5_toxicity, op8_mixing, op10_bpe)
+    f.__name__: f for f in (op1_secret_scan, op3_jaccard_join, op5_toxicity, op8_mixing, op10_bpe)
 }
 ORACLES: dict[str, str] = {"op8_mixing": mixing.MIX_SQL}

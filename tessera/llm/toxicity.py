@@ -26,8 +26,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 class Settings(NamedTuple):
     """Bounds of the training sample and the optimiser; `held` is the fold of ids that is never learnt from."""
 
-    positives: int = 4096
-    unlabelled: int = 12288
+    positives: int = 2048
+    unlabelled: int = 6144
     features: int = 1024
     least_positives: int = 5
     least_z: float = 4.0
@@ -40,7 +40,7 @@ class Settings(NamedTuple):
 
 
 #: Lengths of the beginnings of longer words that are features too, as compounds share them.
-BEGINNINGS = (4, 5, 7)
+BEGINNINGS = (5, 7)
 #: Words whose weight a Python worker remembers.
 REMEMBERED = 100_000
 
@@ -82,11 +82,12 @@ def choose(pos: list[np.ndarray], unl: list[np.ndarray], s: Settings) -> np.ndar
     """The words whose document frequencies differ most, in standard errors, between positive and unlabelled texts."""
     ids, inv = np.unique(np.concatenate([*pos, *unl]), return_inverse=True)
     n = sum(map(len, pos))
-    first = np.concatenate([np.diff(d, prepend=-1) > 0 for d in [*pos, *unl]])  # a feature counts once for a text here
+    first = np.concatenate([np.append(True, d[1:] != d[:-1])[: len(d)] for d in [*pos, *unl]])  # a feature counts once for a text here
     a, b = (np.bincount(inv[part], weights=first[part], minlength=len(ids)) for part in (slice(n), slice(n, None)))
     p, q = (a + 0.5) / (len(pos) + 1), (b + 0.5) / (len(unl) + 1)
     z = np.abs(p - q) / np.sqrt(p * (1 - p) / (len(pos) + 1) + q * (1 - q) / (len(unl) + 1))
     z[(a < s.least_positives) | (z < s.least_z)] = 0
+    del inv, first
     best = np.lexsort((ids, -z))[: s.features]
     return np.sort(ids[best[z[best] > 0]])
 
@@ -94,7 +95,7 @@ def choose(pos: list[np.ndarray], unl: list[np.ndarray], s: Settings) -> np.ndar
 def matrix(docs: list[np.ndarray], vocab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sparse incidence of docs and vocabulary: row and column of each entry."""
     rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    flat = np.concatenate(docs) if docs else np.empty(0, np.int64)
+    flat = np.concatenate(docs) if docs else np.empty(0, np.uint32)
     at = np.searchsorted(vocab, flat)
     hit = (at < len(vocab)) & (vocab[np.minimum(at, len(vocab) - 1)] == flat)
     return rows[hit], at[hit]
@@ -141,8 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     pos = known.where("toxic = 1").orderBy(order, "doc_id").limit(s.positives).select("doc_id", F.lit(1).alias("p"))
     unl = learn(docs.select("doc_id")).orderBy(order, "doc_id").limit(s.unlabelled).select("doc_id", F.lit(0).alias("p"))
     sample = docs.select("doc_id", "text").join(F.broadcast(pos.unionByName(unl)), "doc_id")
-    rows = map_rows(sample.select("p", "text"), lambda p, text: [(a, words_of(t)) for a, t in zip(p, text, strict=True)], "p int, words array<bigint>").toPandas()
-    sets = [np.asarray(w, np.int64) for w in rows["words"]]
+    rows = map_rows(sample.select("p", "text"), lambda p, text: [(a, np.array(words_of(t), np.uint32).tobytes()) for a, t in zip(p, text, strict=True)], "p int, words binary").toPandas()
+    sets = [np.frombuffer(w, np.uint32) for w in rows["words"]]
     # The order in which the sample arrives is no part of the model.
     both = sorted(zip(rows["p"], sets, strict=True), key=lambda r: (r[0], r[1].tobytes()))
     return train([w for p, w in both if p == 1], [w for p, w in both if p == 0], (toxic or 0) / n if n else 0.0, s)
