@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, jaccard_join, mixing, secret_scan, toxicity
+from tessera.llm import bpe, jaccard_join, language_id, media, mixing, quality_llr, secret_scan, token_shards, toxicity
 from tessera.llm.common import table
 
 
@@ -19,20 +19,38 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op7_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return quality_llr.score(table(spark, sf_dir, "documents"), trusted)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.records(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer or bpe.default_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_jaccard_join, op5_toxicity, op8_mixing, op10_bpe)
+    f.__name__: f for f in (op1_secret_scan, op3_jaccard_join, op4_media, op5_toxicity, op6_language_id, op7_quality_llr, op8_mixing, op9_token_shards, op10_bpe)
 }
 ORACLES: dict[str, str] = {"op8_mixing": mixing.MIX_SQL}

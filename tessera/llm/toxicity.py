@@ -15,6 +15,7 @@ import zlib
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,9 +171,7 @@ def keep_clean(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataF
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(BooleanType())
-    def clean(text: "pd.Series") -> "pd.Series":  # noqa: F821
-        import pandas as pd
-
-        return pd.Series([send.value.score(t) < s.cut for t in text], dtype=bool)
+    def clean(text: pd.Series) -> pd.Series:
+            return pd.Series([send.value.score(t) < s.cut for t in text], dtype=bool)
 
     return docs.where(clean(F.col("text")))
