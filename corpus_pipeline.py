@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import secret_scan, toxicity
+from tessera.llm import bpe, jaccard_join, mixing, secret_scan, toxicity
 from tessera.llm.common import materialise, table
 
 
@@ -13,12 +13,27 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates."""
+    return jaccard_join.keep_one(docs)
+
+
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by [REDACTED:kind]."""
+    """All documents, with secrets replaced by [REDACTED:kind] and n_chars brought up to date."""
     return secret_scan.redact(docs, secret_scan.scan(docs))
 
 
-STAGES = [("toxicity", drop_toxic), ("secrets", redact_secrets)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, those of a further epoch once more."""
+    return mixing.sample(docs)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and the digests of ids and decoded text of every document of the mix."""
+    return bpe.encode_digests(docs, bpe.default_path())
+
+
+STAGES = [("toxicity", drop_toxic), ("jaccard_join", drop_near_copies), ("secret_scan", redact_secrets), ("mixing", mix_sources), ("bpe", encode_texts)]
 
 #: No SQL trains a classifier or encodes with a tokenizer; tests compare with a brute-force version.
 ORACLE_SQL = None

@@ -41,18 +41,20 @@ def targets(totals: DataFrame, weights: tuple[int, ...], share: float, cap: floa
     return t.select("src", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
-    """Rows (doc_id, size, source_size, target, taken); needs doc_id, text, source; other columns are ignored.
+def _source(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
-    size: words of the text (null: 0). taken: words that the mix takes of the row, counting each epoch; the sum over
-    a source is its target rounded to the nearest word. Order is by md5(seed:doc_id), then doc_id, size; equal rows
-    are interchangeable. A null source is a source of its own; an empty table gives no rows.
-    """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    src = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
-    d = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), src.alias("src"), word_count(F.col("text")).alias("size"), key.alias("key")))
-    ranges = 1
-    while ranges < MOST_RANGES and ranges * ROWS_PER_RANGE < d.count():
+
+def _key(doc_id: Column, seed: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+
+
+def _taken(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: str) -> DataFrame:
+    d = materialise(
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), _source(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), seed).alias("key"))
+    )
+    rows, ranges = d.count(), 1
+    while ranges < MOST_RANGES and ranges * ROWS_PER_RANGE < rows:
         ranges *= 2
     cut = (F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("long")
     d = d.withColumn("range", cut)
@@ -63,14 +65,37 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     inside = Window.partitionBy("src", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     budget = F.floor(F.col("target") + 0.5)
-    full = F.floor(budget / F.col("source_size"))
-    rest = budget - full * F.col("source_size")
-    taken = full * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
-    return (
-        d.join(offsets, ["src", "range"])
-        .withColumn("start", start)
-        .select("doc_id", "size", "source_size", "target", F.when(F.col("source_size") > 0, taken).otherwise(0).cast("long").alias("taken"))
-    )
+    some = F.col("source_size") > 0
+    full = F.when(some, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
+    rest = budget - F.col("epochs") * F.col("source_size")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("long")
+    return d.join(offsets, ["src", "range"]).withColumn("start", start).withColumn("epochs", full).withColumn("part", part)
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """Rows (doc_id, size, source_size, target, taken); needs doc_id, text, source; other columns are ignored.
+
+    size: words of the text (null: 0). taken: words that the mix takes of the row, counting each epoch; the sum over
+    a source is its target rounded to the nearest word. Order is by md5(seed:doc_id), then doc_id, size; equal rows
+    are interchangeable. A null source is a source of its own; an empty table gives no rows.
+    """
+    d = _taken(docs, weights, share, cap, seed)
+    return d.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
+
+
+def sample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of docs, all columns, as often as it is taken; the row at the cut if half of it is.
+
+    The text isn't shuffled: a source's cut is a place in its key order, one row a source, which the rows are held against.
+    """
+    place = F.struct("key", "doc_id", "size")
+    d = _taken(docs, weights, share, cap, seed)
+    last = F.max(F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), place)).alias("__last")
+    cuts = materialise(d.groupBy(F.col("src").alias("__src")).agg(F.max("epochs").alias("__epochs"), last))
+    here = F.struct(_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("doc_id"), word_count(F.col("text")).alias("size"))
+    rows = docs.withColumn("__src", _source(F.col("source"))).join(cuts, "__src")
+    times = F.col("__epochs").cast("int") + F.when(here <= F.col("__last"), 1).otherwise(0)
+    return rows.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 
 #: The same rules without ranges, for the comparison of results.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, jaccard_join, language_id, media, mixing, quality_llr, secret_scan, token_shards, toxicity
+from tessera.llm import bpe, chat_format, jaccard_join, language_id, media, mixing, quality_llr, secret_scan, token_shards, toxicity
 from tessera.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.summary(docs, secret_scan.scan(docs))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.parse(table(spark, sf_dir, "conversations"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) ->
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op3_jaccard_join, op4_media, op5_toxicity, op6_language_id, op7_quality_llr, op8_mixing, op9_token_shards, op10_bpe)
+    f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_jaccard_join, op4_media, op5_toxicity, op6_language_id, op7_quality_llr, op8_mixing, op9_token_shards, op10_bpe)
 }
 ORACLES: dict[str, str] = {"op8_mixing": mixing.MIX_SQL}

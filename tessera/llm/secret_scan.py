@@ -107,7 +107,7 @@ def listing(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with each run of overlapping spans in `text` replaced by [REDACTED:kind]; rows without findings unchanged."""
+    """docs with each run of overlapping spans in `text` replaced by [REDACTED:kind], n_chars, if any, with it; rows without findings unchanged."""
     d = join_paths(docs, findings, rules, keep=tuple(docs.columns))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -119,7 +119,10 @@ def redact(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
         return F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text")))
 
     clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", zero, step, finish))
-    return d.withColumn("text", clean).select(*docs.columns)
+    d = d.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return d.select(*docs.columns)
 
 
 def _is(kind: str):
