@@ -6,7 +6,7 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric; x and y link when d <= TAU. The joi
 2. Survivors. If x links with anything, then under any fixed order of shingles its first n - ceil(.8 n) + l of them
    hold l that also stand among the first of its partner. So a node with too few shared shingles there has no link and
    is set aside. Each map task posts a shingle once, so no reducer gets more of one shingle than there are tasks.
-3. Regions. The survivors' shingles are ordered by (frequent or not, hash); the members of a region share a shingle
+3. Regions. The survivors' shingles are ordered by (frequency of the frequent, hash); the members of a region share a shingle
    among the first n - ceil(.8 n) + 1 of each, and every linked pair meets in a region. Equal regions are joined once.
 4. Recursion. A region elects pivots and gets the exact distance of each member to each. Members nearer to one pivot
    than to all others by more than 2 TAU are the interior of its Voronoi cell; the interiors of two cells have no link
@@ -30,8 +30,9 @@ WIDTH, TAU, EPS = 5, 0.2, 1e-9
 #: Bits of the broadcast filter of surviving rows, and the rows up to which it is used; beyond, a join takes its place.
 FILTER_BITS = 1 << 26
 FILTER_ROWS = FILTER_BITS >> 3
-#: A shingle of this many survivors is frequent; at most so many frequent ones are told apart. Results don't depend on it.
-FREQUENT, MOST_FREQUENT = 64, 1 << 18
+#: A shingle of this many survivors is frequent; so many frequent ones, the most frequent, come last, by frequency. Results
+#: don't depend on it, as any order common to all nodes will do.
+FREQUENT, MOST_FREQUENT = 4, 1 << 18
 PIVOTS, LEAF = 4, 16
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -176,14 +177,21 @@ def _arrays(docs: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
-    """Rows (r1, r2, nid): the members of each region, equal regions once."""
-    counts = nodes.select(F.explode("arr").alias("h")).groupBy("h").count().where(F.col("count") >= FREQUENT)
-    often = np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("count"), "h").limit(MOST_FREQUENT).collect()], np.int64))
+    """Rows (r1, r2, nid): the members of each region, equal regions once.
+
+    A node of whose shingles fewer than least_common(n) are anyone else's has no link and is in no region.
+    """
+    counts = materialise(nodes.select("nid", F.explode("arr").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("nid").alias("nid")))
+    own = counts.where("m = 1").groupBy("nid").agg(F.count("*").alias("own"))
+    keep = materialise(nodes.select("nid", "n").join(own, "nid", "left").where("coalesce(own, 0) <= n - ceil(n * 4 / 5)").select("nid"))
+    top = counts.where(F.col("m") >= FREQUENT).orderBy(F.desc("m"), "h").limit(MOST_FREQUENT).select("h", "m").toPandas().sort_values("h")
+    often = top["h"].to_numpy(np.int64), top["m"].to_numpy(np.int64)
+    discard(counts)
     send = nodes.sparkSession.sparkContext.broadcast(often)
     schema = pa.schema([("h", pa.int64()), ("nid", pa.int64()), ("e", pa.int64())])
 
     def first(batches):
-        often = send.value
+        often, times = send.value
         for b in batches:
             hs, ids, es = [], [], []
             for nid, arr in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -191,8 +199,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
                 n = len(s)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    hot = often[at] == s
-                    s = np.concatenate([s[~hot], s[hot]])
+                    s = s[np.argsort(np.where(often[at] == s, times[at], 0), kind="stable")]
                 s = s[: n - least_common(n) + 1]
                 hs.append(s)
                 ids.append(np.full(len(s), nid))
@@ -201,10 +208,10 @@ def _regions(nodes: DataFrame) -> DataFrame:
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (hs, ids, es)], schema=schema)
 
-    posts = materialise(nodes.select("nid", "arr").mapInArrow(first, "h bigint, nid bigint, e bigint"))
+    posts = materialise(nodes.select("nid", "arr").mapInArrow(first, "h bigint, nid bigint, e bigint").join(keep, "nid", "left_semi"))
     best = materialise(posts.groupBy("h").agg(F.min("e").alias("least"), F.count("*").alias("m")).where("m > 1").select("h", "least"))
     near = materialise(posts.join(best, "h").where("e + least <= 0").select("h", "nid"))
-    discard(posts, best)
+    discard(posts, best, keep)
     out = _once(near, ["h"])
     discard(near)
     return out
@@ -253,13 +260,17 @@ def _pairs(a, b):
 def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of node ids that connect all that the full set of links connects."""
     spark = nodes.sparkSession
+    nodes = materialise(nodes.select("nid", "n", "arr").join(materialise(regions.select("nid").distinct()), "nid", "left_semi"))
+    sizes = nodes.select("nid", "n")
     known = materialise(spark.createDataFrame([], "a bigint, b bigint, d double, linked boolean"))
     leaf, region = LEAF, ["r1", "r2"]
     while not regions.isEmpty():
         seeds = [F.min(F.struct(F.xxhash64("nid", F.lit(10 + i)), F.col("nid").alias("nid")))["nid"].alias(f"p{i}") for i in range(PIVOTS)]
         heads = materialise(regions.groupBy(*region).agg(F.count("*").alias("m"), *seeds).withColumn("pivots", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).select(*region, "m", "pivots"))
         small = regions.join(heads.where(F.col("m") <= leaf).select(*region), region)
-        inside = small.alias("s").join(small.alias("t"), region).where("s.nid < t.nid").select(F.col("s.nid").alias("a"), F.col("t.nid").alias("b"))
+        small = small.join(sizes, "nid")
+        near = "s.nid < t.nid and 5 * least(s.n, t.n) >= 4 * greatest(s.n, t.n)"
+        inside = small.alias("s").join(small.alias("t"), region).where(near).select(F.col("s.nid").alias("a"), F.col("t.nid").alias("b"))
         star = materialise(regions.join(heads.where(F.col("m") > leaf), region).select(*region, "nid", F.explode("pivots").alias("pivot")))
         asked = inside.unionByName(star.where("nid <> pivot").select(*_pairs(F.col("nid"), F.col("pivot")))).distinct()
         fresh = materialise(asked.join(known.select("a", "b"), ["a", "b"], "left_anti"))
