@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 #: A word: a run of characters other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -22,7 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reach_package(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package wherever the driver was started; clusters get it by --py-files."""
+    """Let Python workers on this machine import the package wherever the driver was started; clusters get it by --py-files.
+
+    Arrow batches are kept to ARROW_ROWS rows, as one row can be a text of many kilobytes; a smaller setting stands.
+    """
+    if int(spark.conf.get(ARROW, "10000")) > ARROW_ROWS:
+        spark.conf.set(ARROW, str(ARROW_ROWS))
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in (paths := [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]):
         env["PYTHONPATH"] = os.pathsep.join([*paths, root])

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise
+from tessera.llm.common import discard, materialise, reach_package
 from tessera.llm.components import components
 
 WIDTH, TAU, EPS = 5, 0.2, 1e-9
@@ -318,6 +318,7 @@ def join(docs: DataFrame) -> DataFrame:
     component_id is the smallest doc_id that links reach, the row's own included. A text without words is linked with
     nothing. Rows with equal sets link; a null doc_id takes part but is never smallest unless alone (then null).
     """
+    reach_package(docs.sparkSession)
     sets = materialise(_sets(docs))
     alive = materialise(_survivors(sets))
     members = materialise(sets.where("sig is not null").select("doc_id", "n", "sig"))
