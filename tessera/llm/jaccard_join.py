@@ -12,7 +12,8 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric; x and y link when d <= TAU. The joi
    than to all others by more than 2 TAU are the interior of its Voronoi cell; the interiors of two cells have no link
    (triangle inequality). A cell goes on with its interior and those boundary members that lie within TAU of it in
    distance to the pivot; the boundary members go on among themselves. Pivots leave, as do members all of whose
-   possible partners link to the same pivot, being connected by it. Small regions compare their pairs.
+   possible partners link to the same pivot, being connected by it. Regions of one component so far are settled; small
+   regions compare their pairs of different components.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ FILTER_ROWS = FILTER_BITS >> 3
 #: A shingle of this many survivors is frequent; so many frequent ones, the most frequent, come last, by frequency. Results
 #: don't depend on it, as any order common to all nodes will do.
 FREQUENT, MOST_FREQUENT = 4, 1 << 18
-PIVOTS, LEAF = 4, 16
+PIVOTS, LEAF, DEPTH, BLOCK = 4, 256, 2, 256
+#: Pivots of a large region, the members of a small one, the rounds of pivots, and the members of a block of pairs.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -134,13 +136,13 @@ def _survivors(sets: DataFrame) -> DataFrame:
         node, h = (np.concatenate(x) for x in zip(*got, strict=True))
         order = np.lexsort((node, h))
         node, h = node[order], h[order]
+        # A shingle is shared if two different nodes post it; each of them is told once.
         once = np.append(True, (h[1:] != h[:-1]) | (node[1:] != node[:-1]))
         node, h = node[once], h[once]
         run = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-        ids, times = np.unique(node[np.bincount(run)[run] > 1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(times, pa.int64())], names=["node", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[np.bincount(run)[run] > 1], pa.int64())], names=["node"])
 
-    times = posts.repartition(n, "h").select("node", "h").mapInArrow(shared, "node bigint, times bigint").groupBy("node").agg(F.sum("times").alias("times"))
+    times = posts.repartition(n, "h").select("node", "h").mapInArrow(shared, "node bigint").groupBy("node").agg(F.count("*").alias("times"))
     own = sets.where("sig is not null and n > 0").select(F.xxhash64("sig").alias("node"), "sig", "rid", "need", "here")
     # All rows of a set say the same of it but for `here`, which counts what its own task shares; a task's first copy says it.
     one = own.groupBy("node", "sig").agg(F.min("rid").alias("rid"), F.max("need").alias("need"), F.max("here").alias("here"))
@@ -148,7 +150,10 @@ def _survivors(sets: DataFrame) -> DataFrame:
 
 
 def _arrays(docs: DataFrame, alive: DataFrame) -> DataFrame:
-    """Rows (nid, sig, n, arr) of the survivors: their whole shingle sets."""
+    """Rows (nid, sig, n, arr, sketch) of the survivors: their whole shingle sets, and how many fall in each of 256 classes.
+
+    Sketches are no farther apart (summed differences) than the sets they are of, which a cap of 255 leaves true.
+    """
     rid = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     texts = docs.select(rid.alias("rid"), "text")
     bits = None
@@ -163,7 +168,7 @@ def _arrays(docs: DataFrame, alive: DataFrame) -> DataFrame:
     else:
         texts = texts.join(alive.select("rid").distinct(), "rid", "left_semi").select(F.lit(0).alias("k"), F.lit(0).alias("p"), "text")
 
-    schema = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("arr", pa.list_(pa.int64()))])
+    schema = pa.schema([("sig", pa.binary()), ("n", pa.int64()), ("sketch", pa.binary()), ("arr", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -171,9 +176,10 @@ def _arrays(docs: DataFrame, alive: DataFrame) -> DataFrame:
             hit = np.flatnonzero((bits.value[4096 * k + (p >> 3)] >> (p & 7).astype(np.uint8)) & 1) if bits is not None else np.arange(len(k))
             sets = [s for i in hit.tolist() if len(s := shingles(batch.column(2)[i].as_py()))]
             sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], schema=schema)
+            sketches = [np.minimum(np.bincount(s & 255, minlength=256), 255).astype(np.uint8).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary()), _lists(sets)], schema=schema)
 
-    return texts.select("k", "p", "text").mapInArrow(run, "sig binary, n bigint, arr array<bigint>").withColumn("nid", F.monotonically_increasing_id())
+    return texts.select("k", "p", "text").mapInArrow(run, "sig binary, n bigint, sketch binary, arr array<bigint>").withColumn("nid", F.monotonically_increasing_id())
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
@@ -210,7 +216,7 @@ def _regions(nodes: DataFrame) -> DataFrame:
 
     posts = materialise(nodes.select("nid", "arr").mapInArrow(first, "h bigint, nid bigint, e bigint").join(keep, "nid", "left_semi"))
     best = materialise(posts.groupBy("h").agg(F.min("e").alias("least"), F.count("*").alias("m")).where("m > 1").select("h", "least"))
-    near = materialise(posts.join(best, "h").where("e + least <= 0").select("h", "nid"))
+    near = materialise(posts.join(best, "h").where("e + least <= 0").select("h", "nid", "e"))
     discard(posts, best, keep)
     out = _once(near, ["h"])
     discard(near)
@@ -218,14 +224,16 @@ def _regions(nodes: DataFrame) -> DataFrame:
 
 
 def _once(members: DataFrame, region: list[str]) -> DataFrame:
-    """Rows (r1, r2, nid) of written rows (region..., nid): a region is named by the 128-bit sum of its members' hashes."""
+    """Rows (r1, r2, nid, e) of written rows (region..., nid, e), those of equal regions once, with a member's least e.
+
+    A region is named by two 64-bit digests of sums over its members' hashes.
+    """
     big = "decimal(38,0)"
-    name = [F.sum(F.xxhash64("nid", F.lit(i)).cast(big)).alias(f"s{i}") for i in (1, 2)]
-    names = members.groupBy(*region).agg(F.count("*").alias("m"), *name).where("m > 1")
-    chosen = names.groupBy("s1", "s2").agg(F.min(F.struct(*region)).alias("k")).select(*(F.col("k")[c].alias(c) for c in region), F.xxhash64("s1").alias("s1"), F.xxhash64("s2").alias("s2"))
-    chosen = materialise(chosen)
-    out = materialise(members.join(chosen, region).select(F.col("s1").alias("r1"), F.col("s2").alias("r2"), "nid"))
-    discard(chosen)
+    sums = [F.sum(F.xxhash64("nid", F.lit(i)).cast(big)).alias(f"s{i}") for i in (1, 2)]
+    names = members.groupBy(*region).agg(F.count("*").alias("m"), *sums).where("m > 1")
+    names = materialise(names.select(*region, F.xxhash64("s1", "m").alias("q1"), F.xxhash64("s2", "m").alias("q2")))
+    out = materialise(members.join(names, region).groupBy("q1", "q2", "nid").agg(F.min("e").alias("e")).withColumnsRenamed({"q1": "r1", "q2": "r2"}))
+    discard(names)
     return out
 
 
@@ -257,31 +265,76 @@ def _pairs(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
 
+def _near(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows (r1, r2, nid, comp, e, n, sketch, m) of a region that may link and are in different components.
+
+    A region is cut into blocks of about BLOCK members, and a task compares two blocks: no pair is a row before it has
+    passed the tests of size, place and sketch, all of which every link passes.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("nid", F.lit(3)), blocks).cast("int")
+    d = members.select("r1", "r2", "nid", "comp", "e", "n", "sketch", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    d = d.select("r1", "r2", F.least("own", "other").alias("k1"), F.greatest("own", "other").alias("k2"), "own", "nid", "comp", "e", "n", "sketch")
+    keys = ["r1", "r2", "k1", "k2"]
+
+    def run(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        r1, r2, k1, k2, own, nid, comp, e, n = (t.column(i).to_numpy() for i in range(9))
+        raw = t.column(9).chunk(0)
+        sketch = np.frombuffer(raw.buffers()[2], np.uint8, count=256 * t.num_rows, offset=256 * raw.offset).reshape(-1, 256)
+        new = (r1[1:] != r1[:-1]) | (r2[1:] != r2[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            firsts, seconds = [], []
+            for i in range(a, b - 1):
+                j = np.arange(i + 1, b)
+                total = n[j] + n[i]
+                ok = (comp[j] != comp[i]) & (e[j] + e[i] <= 0) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))
+                if k1[a] != k2[a]:
+                    ok &= own[j] != own[i]
+                j = j[ok]
+                apart = np.abs(sketch[j].astype(np.int16) - sketch[i]).sum(axis=1)
+                j = j[9 * apart <= total[ok]]
+                firsts.append(np.minimum(nid[j], nid[i]))
+                seconds.append(np.maximum(nid[j], nid[i]))
+            if firsts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (firsts, seconds)], names=["a", "b"])
+
+    return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
+
+
 def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of node ids that connect all that the full set of links connects."""
     spark = nodes.sparkSession
-    nodes = materialise(nodes.select("nid", "n", "arr").join(materialise(regions.select("nid").distinct()), "nid", "left_semi"))
-    sizes = nodes.select("nid", "n")
+    nodes = materialise(nodes.select("nid", "n", "arr", "sketch").join(materialise(regions.select("nid").distinct()), "nid", "left_semi"))
+    sizes = nodes.select("nid", "n", "sketch")
     known = materialise(spark.createDataFrame([], "a bigint, b bigint, d double, linked boolean"))
-    leaf, region = LEAF, ["r1", "r2"]
+    depth, region = 0, ["r1", "r2"]
     while not regions.isEmpty():
-        seeds = [F.min(F.struct(F.xxhash64("nid", F.lit(10 + i)), F.col("nid").alias("nid")))["nid"].alias(f"p{i}") for i in range(PIVOTS)]
-        heads = materialise(regions.groupBy(*region).agg(F.count("*").alias("m"), *seeds).withColumn("pivots", F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS))))).select(*region, "m", "pivots"))
-        small = regions.join(heads.where(F.col("m") <= leaf).select(*region), region)
-        small = small.join(sizes, "nid")
-        near = "s.nid < t.nid and 5 * least(s.n, t.n) >= 4 * greatest(s.n, t.n)"
-        inside = small.alias("s").join(small.alias("t"), region).where(near).select(F.col("s.nid").alias("a"), F.col("t.nid").alias("b"))
-        star = materialise(regions.join(heads.where(F.col("m") > leaf), region).select(*region, "nid", F.explode("pivots").alias("pivot")))
+        # Whatever is connected already needs no comparing: a region goes on only with members of several components.
+        linked = known.where("linked").select("a", "b")
+        roots = None if linked.isEmpty() else materialise(components(linked).withColumnRenamed("node", "nid"))
+        with_comp = regions.withColumn("comp", F.col("nid")) if roots is None else regions.join(roots, "nid", "left").select(*region, "nid", "e", F.coalesce("root", "nid").alias("comp"))
+        members = materialise(with_comp)
+        # A region is large while pivots may divide it; from DEPTH on, blocks do.
+        size = members.groupBy(*region).agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+        size = materialise(size.select(*region, "m", (F.lit(depth < DEPTH) & (F.col("m") > LEAF)).alias("large")))
+        members = members.join(size, region)
+        large = members.where("large")
+        seeds = [F.min(F.struct(F.xxhash64("nid", F.lit(10 + i)), "nid"))["nid"].alias(f"p{i}") for i in range(PIVOTS)]
+        heads = materialise(large.groupBy(*region).agg(*seeds).select(*region, F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots")))
+        star = materialise(large.select(*region, "nid", "e").join(heads, region).select(*region, "nid", "e", F.explode("pivots").alias("pivot")))
+        inside = _near(members.where("not large").join(sizes, "nid"))
         asked = inside.unionByName(star.where("nid <> pivot").select(*_pairs(F.col("nid"), F.col("pivot")))).distinct()
         fresh = materialise(asked.join(known.select("a", "b"), ["a", "b"], "left_anti"))
         got = materialise(_distances(fresh, nodes))
-        discard(fresh, heads)
         whole = materialise(known.unionByName(got))
-        discard(got, known)
-        known = whole
-        nxt = _split(star, known)
-        discard(star, regions)
-        regions, leaf = nxt, 2 * leaf
+        nxt = _split(star, whole)
+        discard(fresh, got, known, heads, star, size, regions, *([roots] if roots is not None else []))
+        known, regions, depth = whole, nxt, depth + 1
     return known.where("linked").select("a", "b")
 
 
@@ -290,9 +343,9 @@ def _split(star: DataFrame, known: DataFrame) -> DataFrame:
     region = ["r1", "r2"]
     a, b = _pairs(F.col("nid"), F.col("pivot"))
     rows = star.withColumn("a", a).withColumn("b", b).join(known, ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-    rows = materialise(rows.select(*region, "nid", "pivot", "d"))
-    mine = rows.groupBy(*region, "nid").agg(F.min("d").alias("self"), F.array_sort(F.collect_list(F.struct("d", "pivot"))).alias("ds"))
-    mine = materialise(mine.withColumn("is_pivot", F.exists("ds", lambda x: x["pivot"] == F.col("nid"))).where("not is_pivot").drop("is_pivot", "self"))
+    rows = materialise(rows.select(*region, "nid", "e", "pivot", "d"))
+    mine = rows.groupBy(*region, "nid").agg(F.min("e").alias("e"), F.array_sort(F.collect_list(F.struct("d", "pivot"))).alias("ds"))
+    mine = materialise(mine.withColumn("is_pivot", F.exists("ds", lambda x: x["pivot"] == F.col("nid"))).where("not is_pivot").drop("is_pivot"))
     per = mine.select(*region, "nid", F.explode("ds").alias("x")).select(*region, "nid", F.col("x.d").alias("d"), F.col("x.pivot").alias("pivot"))
     # The nearest member that does not link to the pivot: nothing nearer by more than TAU has a partner outside its links.
     outer = per.where(F.col("d") > TAU + EPS).groupBy(*region, "pivot").agg(F.min("d").alias("outer"))
@@ -302,10 +355,10 @@ def _split(star: DataFrame, known: DataFrame) -> DataFrame:
     inner = F.coalesce(second["d"], F.lit(9.0)) - home["d"] > 2 * TAU + EPS
     left = open_.withColumn("inner", inner).withColumn("home", F.col("ds")[0]["pivot"])
     reach = left.where("inner").groupBy(*region, F.col("home").alias("pivot")).agg(F.max(F.col("ds")[0]["d"]).alias("reach"))
-    cells = left.where("inner").select(*region, F.col("home").alias("cell"), "nid")
-    edge = left.where("not inner").select(*region, "nid", F.explode("ds").alias("x")).select(*region, "nid", F.col("x.d").alias("d"), F.col("x.pivot").alias("pivot"))
-    windows = edge.join(reach, [*region, "pivot"]).where(F.col("d") <= F.col("reach") + TAU + EPS).select(*region, F.col("pivot").alias("cell"), "nid")
-    rest = left.where("not inner").select(*region, F.lit(-1).cast("long").alias("cell"), "nid")
+    cells = left.where("inner").select(*region, F.col("home").alias("cell"), "nid", "e")
+    edge = left.where("not inner").select(*region, "nid", "e", F.explode("ds").alias("x")).select(*region, "nid", "e", F.col("x.d").alias("d"), F.col("x.pivot").alias("pivot"))
+    windows = edge.join(reach, [*region, "pivot"]).where(F.col("d") <= F.col("reach") + TAU + EPS).select(*region, F.col("pivot").alias("cell"), "nid", "e")
+    rest = left.where("not inner").select(*region, F.lit(-1).cast("long").alias("cell"), "nid", "e")
     parts = materialise(cells.unionByName(windows).unionByName(rest))
     out = _once(parts, [*region, "cell"])
     discard(rows, mine, open_, parts)
