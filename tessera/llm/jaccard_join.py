@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, materialise, reach_package
-from tessera.llm.components import components
+from tessera.llm.components import components, labels
 
 WIDTH, TAU, EPS = 5, 0.2, 1e-9
 #: Bits of the broadcast filter of surviving rows, and the rows up to which it is used; beyond, a join takes its place.
@@ -34,7 +34,7 @@ FILTER_ROWS = FILTER_BITS >> 3
 #: A shingle of this many survivors is frequent; so many frequent ones, the most frequent, come last, by frequency. Results
 #: don't depend on it, as any order common to all nodes will do.
 FREQUENT, MOST_FREQUENT = 4, 1 << 18
-PIVOTS, LEAF, DEPTH, BLOCK = 4, 256, 2, 256
+PIVOTS, LEAF, DEPTH, BLOCK = 4, 256, 1, 256
 #: Pivots of a large region, the members of a small one, the rounds of pivots, and the members of a block of pairs.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -314,11 +314,11 @@ def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     known = materialise(spark.createDataFrame([], "a bigint, b bigint, d double, linked boolean"))
     depth, region = 0, ["r1", "r2"]
     while not regions.isEmpty():
-        # Whatever is connected already needs no comparing: a region goes on only with members of several components.
-        linked = known.where("linked").select("a", "b")
-        roots = None if linked.isEmpty() else materialise(components(linked).withColumnRenamed("node", "nid"))
-        with_comp = regions.withColumn("comp", F.col("nid")) if roots is None else regions.join(roots, "nid", "left").select(*region, "nid", "e", F.coalesce("root", "nid").alias("comp"))
-        members = materialise(with_comp)
+        # What is known to be connected needs no comparing: a region goes on only with members of several labels.
+        members = regions.withColumn("comp", F.col("nid"))
+        if depth:
+            linked = labels(known.where("linked").select("a", "b")).withColumnRenamed("node", "nid")
+            members = materialise(regions.join(linked, "nid", "left").select(*region, "nid", "e", F.coalesce("label", "nid").alias("comp")))
         # A region is large while pivots may divide it; from DEPTH on, blocks do.
         size = members.groupBy(*region).agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
         size = materialise(size.select(*region, "m", (F.lit(depth < DEPTH) & (F.col("m") > LEAF)).alias("large")))
@@ -326,15 +326,17 @@ def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
         large = members.where("large")
         seeds = [F.min(F.struct(F.xxhash64("nid", F.lit(10 + i)), "nid"))["nid"].alias(f"p{i}") for i in range(PIVOTS)]
         heads = materialise(large.groupBy(*region).agg(*seeds).select(*region, F.array_distinct(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("pivots")))
-        star = materialise(large.select(*region, "nid", "e").join(heads, region).select(*region, "nid", "e", F.explode("pivots").alias("pivot")))
-        inside = _near(members.where("not large").join(sizes, "nid"))
-        asked = inside.unionByName(star.where("nid <> pivot").select(*_pairs(F.col("nid"), F.col("pivot")))).distinct()
-        fresh = materialise(asked.join(known.select("a", "b"), ["a", "b"], "left_anti"))
-        got = materialise(_distances(fresh, nodes))
-        whole = materialise(known.unionByName(got))
-        nxt = _split(star, whole)
-        discard(fresh, got, known, heads, star, size, regions, *([roots] if roots is not None else []))
-        known, regions, depth = whole, nxt, depth + 1
+        asked, star = _near(members.where("not large").join(sizes, "nid")), None
+        if not heads.isEmpty():
+            star = materialise(large.select(*region, "nid", "e").join(heads, region).select(*region, "nid", "e", F.explode("pivots").alias("pivot")))
+            asked = asked.unionByName(star.where("nid <> pivot").select(*_pairs(F.col("nid"), F.col("pivot"))))
+        asked = asked.distinct()
+        fresh = materialise(asked.join(known.select("a", "b"), ["a", "b"], "left_anti") if depth else asked)
+        known = materialise(known.unionByName(_distances(fresh, nodes)))
+        discard(fresh, heads, size)
+        if star is None:
+            break
+        regions, depth = _split(star, known), depth + 1
     return known.where("linked").select("a", "b")
 
 

@@ -90,12 +90,12 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
     """
     place = F.struct("key", "doc_id", "size")
     d = _taken(docs, weights, share, cap, seed)
-    last = F.max(F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), place)).alias("__last")
-    cuts = materialise(d.groupBy(F.col("src").alias("__src")).agg(F.max("epochs").alias("__epochs"), last))
+    last = F.max(F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), place)).alias("last")
+    cuts = materialise(d.groupBy("src").agg(F.max("epochs").alias("epochs"), last))
     here = F.struct(_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("doc_id"), word_count(F.col("text")).alias("size"))
-    rows = docs.withColumn("__src", _source(F.col("source"))).join(cuts, "__src")
-    times = F.col("__epochs").cast("int") + F.when(here <= F.col("__last"), 1).otherwise(0)
-    return rows.withColumn("__times", times).where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), _source(F.col("source")).alias("src"), here.alias("here")).join(cuts, "src")
+    times = F.col("epochs").cast("int") + F.when(F.col("here") <= F.col("last"), 1).otherwise(0)
+    return rows.select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 #: The same rules without ranges, for the comparison of results.

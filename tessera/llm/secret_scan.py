@@ -88,7 +88,7 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 
 def join_paths(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The `keep` columns of every row of docs with `spans`, an array of (start, rank, kind, end) by start, then rule order.
+    """`row`, the `keep` columns of every row of docs, with `spans`, an array of (start, rank, kind, end) by start, then rule order.
 
     A blob that many paths share is a hot key only of this join of two written tables, which AQE splits.
     """
@@ -97,8 +97,8 @@ def join_paths(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = R
     listed = F.transform(one, lambda x: F.struct(x["starts"].alias("start"), rank[F.col("rule")].alias("rank"), F.col("rule").alias("kind"), x["ends"].alias("end")))
     hits = findings.where(F.size("starts") > 0).withColumn("spans", listed)
     per_blob = materialise(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")))
-    left = docs.select(*keep, blob_of(F.col("text")).alias("__blob"))
-    return left.join(per_blob.withColumnRenamed("blob", "__blob"), "__blob", "left").drop("__blob")
+    whole = F.struct(*(F.col(c) for c in keep)).alias("row")
+    return docs.select(whole, blob_of(F.col("text")).alias("blob")).join(per_blob, "blob", "left").drop("blob")
 
 
 def listing(spans: Column) -> Column:
@@ -110,19 +110,21 @@ def redact(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES
     """docs with each run of overlapping spans in `text` replaced by [REDACTED:kind], n_chars, if any, with it; rows without findings unchanged."""
     d = join_paths(docs, findings, rules, keep=tuple(docs.columns))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    text = F.col("row.text")
 
     def step(acc, s):
-        gap = F.when(s["start"] >= acc["at"], F.concat(F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("[REDACTED:"), s["kind"], F.lit("]"))).otherwise(F.lit(""))
+        gap = F.when(s["start"] >= acc["at"], F.concat(text.substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit("[REDACTED:"), s["kind"], F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap).alias("out"))
 
     def finish(acc):
-        return F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text")))
+        return F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text)))
 
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", zero, step, finish))
-    d = d.withColumn("text", clean)
+    hit = F.col("spans").isNotNull()
+    d = d.withColumn("clean", F.when(hit, F.aggregate("spans", zero, step, finish)).otherwise(text))
+    row = F.col("row").withField("text", F.col("clean"))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return d.select(*docs.columns)
+        row = row.withField("n_chars", F.when(hit, F.length("clean")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType))
+    return d.select(row.alias("row")).select("row.*")
 
 
 def _is(kind: str):
@@ -135,4 +137,4 @@ def summary(docs: DataFrame, findings: DataFrame) -> DataFrame:
     d = join_paths(docs, findings).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in base]
     digest = F.sha2(listing(F.filter("spans", lambda s: s["kind"].isin(base))).cast("binary"), 256)
-    return d.select("doc_id", *counts, digest.alias("base_sha256"), listing(F.col("spans")).alias("spans"))
+    return d.select("row.doc_id", *counts, digest.alias("base_sha256"), listing(F.col("spans")).alias("spans"))
