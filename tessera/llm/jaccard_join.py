@@ -190,7 +190,16 @@ def _regions(nodes: DataFrame) -> DataFrame:
     counts = materialise(nodes.select("nid", F.explode("arr").alias("h")).groupBy("h").agg(F.count("*").alias("m"), F.min("nid").alias("nid")))
     own = counts.where("m = 1").groupBy("nid").agg(F.count("*").alias("own"))
     keep = materialise(nodes.select("nid", "n").join(own, "nid", "left").where("coalesce(own, 0) <= n - ceil(n * 4 / 5)").select("nid"))
-    top = counts.where(F.col("m") >= FREQUENT).orderBy(F.desc("m"), "h").limit(MOST_FREQUENT).select("h", "m").toPandas().sort_values("h")
+    # The least frequency from which on at most MOST_FREQUENT shingles are: from a histogram of sixteenths of powers of two.
+    step = F.floor(F.log2(F.col("m").cast("double")) * 16)
+    seen = {r["step"]: r["count"] for r in counts.where(F.col("m") >= FREQUENT).groupBy(step.alias("step")).count().collect()}
+    total, least = 0, None
+    for k in sorted(seen, reverse=True):
+        total += seen[k]
+        if total > MOST_FREQUENT:
+            break
+        least = k
+    top = counts.where((F.col("m") >= FREQUENT) & (step >= F.lit(least).cast("long"))).select("h", "m").toPandas().sort_values("h")
     often = top["h"].to_numpy(np.int64), top["m"].to_numpy(np.int64)
     discard(counts)
     send = nodes.sparkSession.sparkContext.broadcast(often)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, first_by_hash
 
 BUCKETS, SMOOTH = 1 << 14, 1.0
 #: The most trusted documents that the target multinomial is counted over, in hash order.
@@ -42,7 +42,8 @@ def _buckets(h: Column) -> Column:
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     """log(trusted / raw) of each bucket, smoothed; trusted: rows (doc_id), of which TRUSTED are used."""
-    few = trusted.where("doc_id is not null").groupBy("doc_id").agg(F.lit(1).alias("t")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED)
+    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
+    few = first_by_hash(ids, "doc_id", TRUSTED, "trusted").withColumn("t", F.lit(1))
     d = _words(docs).join(F.broadcast(few), "doc_id", "left").select("h", F.coalesce("t", F.lit(0)).alias("t"))
     grams = d.select("t", F.explode(F.concat(_buckets(F.col("h")), _buckets(_grams(F.col("h"), 2)))).alias("bucket"))
     counts = {r["bucket"]: (r["raw"], r["t"]) for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("t")).collect()}

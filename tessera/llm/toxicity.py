@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, map_rows
+from tessera.llm.common import first_by_hash, fold, map_rows
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -139,9 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     learn = lambda d: d.where(fold(F.col("doc_id"), s.folds) != s.held)
     known = learn(labels.where("toxic is not null")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.sum("toxic")).first()
-    order = F.xxhash64("doc_id", F.lit("toxicity"))
-    pos = known.where("toxic = 1").orderBy(order, "doc_id").limit(s.positives).select("doc_id", F.lit(1).alias("p"))
-    unl = learn(docs.select("doc_id")).orderBy(order, "doc_id").limit(s.unlabelled).select("doc_id", F.lit(0).alias("p"))
+    pos = first_by_hash(known.where("toxic = 1"), "doc_id", s.positives, "toxicity").select("doc_id", F.lit(1).alias("p"))
+    unl = first_by_hash(learn(docs.select("doc_id")), "doc_id", s.unlabelled, "toxicity").select("doc_id", F.lit(0).alias("p"))
     sample = docs.select("doc_id", "text").join(F.broadcast(pos.unionByName(unl)), "doc_id")
     rows = map_rows(sample.select("p", "text"), lambda p, text: [(a, np.array(words_of(t), np.uint32).tobytes()) for a, t in zip(p, text, strict=True)], "p int, words binary").toPandas()
     sets = [np.frombuffer(w, np.uint32) for w in rows["words"]]
