@@ -97,3 +97,12 @@ def first_by_hash(ids: DataFrame, column: str, n: int, seed: str) -> DataFrame:
     if total > 4 * n:
         ids = ids.where(h.cast("double") < -(2.0**63) + 2.0**64 * (3 * n / total))
     return ids.orderBy(h, column).limit(n)
+
+
+#: Rows up to which a table of ids, of a few numbers each, is broadcast.
+FEW = 1 << 20
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A written table of ids marked for broadcast if it has no more than FEW rows; beyond, both sides are shuffled."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids

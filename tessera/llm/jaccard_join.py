@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise, reach_package
+from tessera.llm.common import discard, few, materialise, reach_package
 from tessera.llm.components import components, labels
 
 WIDTH, TAU, EPS = 5, 0.2, 1e-9
@@ -249,7 +249,8 @@ def _once(members: DataFrame, region: list[str]) -> DataFrame:
 def _distances(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rows (a, b, d) with the exact distance of each pair of node ids."""
     arrays = nodes.select(F.col("nid"), "arr")
-    joined = pairs.join(arrays.select(F.col("nid").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("nid").alias("b"), F.col("arr").alias("y")), "b")
+    # The list of pairs goes to where the first arrays lie; only pairs with an array are shuffled to meet the second ones.
+    joined = few(pairs).join(arrays.select(F.col("nid").alias("a"), F.col("arr").alias("x")), "a").join(arrays.select(F.col("nid").alias("b"), F.col("arr").alias("y")), "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_())])
 
     def run(batches):
@@ -318,7 +319,7 @@ def _near(members: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of node ids that connect all that the full set of links connects."""
     spark = nodes.sparkSession
-    nodes = materialise(nodes.select("nid", "n", "arr", "sketch").join(materialise(regions.select("nid").distinct()), "nid", "left_semi"))
+    nodes = materialise(nodes.select("nid", "n", "arr", "sketch").join(few(materialise(regions.select("nid").distinct())), "nid", "left_semi"))
     sizes = nodes.select("nid", "n", "sketch")
     known = materialise(spark.createDataFrame([], "a bigint, b bigint, d double, linked boolean"))
     depth, region = 0, ["r1", "r2"]
@@ -401,6 +402,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is its component's smallest; a null doc_id stays."""
-    kept = materialise(join(docs).where("doc_id = component_id or doc_id is null").select("doc_id").distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").select(*docs.columns)
+    """The rows of docs, all columns, whose doc_id is its component's smallest for one of its rows; a null doc_id stays."""
+    found = materialise(join(docs).where("doc_id is not null").select("doc_id", (F.col("doc_id") == F.col("component_id")).alias("stays")))
+    gone = materialise(found.groupBy("doc_id").agg(F.bool_or("stays").alias("stays")).where("not stays").select("doc_id"))
+    return docs.join(few(gone), "doc_id", "left_anti").select(*docs.columns)
