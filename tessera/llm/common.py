@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,6 +19,10 @@ ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Folders of applications that name none.
+_OWN: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     reach_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,11 +42,11 @@ def reach_package(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    at, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if not at and app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+    return at or f"file://{_OWN[app]}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
