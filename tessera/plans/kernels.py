@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import outlines, quantise, regions
+from tessera.operators import curves, outlines, quantise, regions
 from tessera.plans import fixtures as X
 from tessera.plans.registry import query
 from tessera.sources import animations, jpeg, png
@@ -133,3 +133,16 @@ def pack_rects(spark, sf):
         return pdf.assign(x=[a for a, _ in at], y=[b for _, b in at], sheet_w=w, sheet_h=h)[["p_brand", "sheet", "id", "x", "y", "w", "h", "sheet_w", "sheet_h"]]
 
     return p.groupBy("p_brand", "sheet").applyInPandas(run, "p_brand string, sheet bigint, id bigint, x int, y int, w int, h int, sheet_w int, sheet_h int")
+
+
+def _outline(m):
+    field = m[..., 0] / 255.0
+    loops = curves.contours(field)
+    d = curves.trace(field)
+    return len(loops), round(float(sum(outlines.area(p) for p in loops)), 4), d.count("C"), d
+
+
+@query("trace_outlines")
+def trace_outlines(spark, sf):
+    """The smooth outline of each grey picture as cubic path text."""
+    return each(grey8(spark, sf), _outline, "loops int, area double, curves int, d string", 8, 1)
