@@ -342,12 +342,14 @@ def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
             asked = asked.unionByName(star.where("nid <> pivot").select(*_pairs(F.col("nid"), F.col("pivot"))))
         asked = asked.distinct()
         fresh = materialise(asked.join(known.select("a", "b"), ["a", "b"], "left_anti") if depth else asked)
-        known = materialise(known.unionByName(_distances(fresh, nodes)))
-        discard(fresh, heads, size)
+        before, known = known, materialise(known.unionByName(_distances(fresh, nodes)))
+        discard(before, fresh, heads, size)
         if star is None:
             break
         regions, depth = _split(star, known), depth + 1
-    return known.where("linked").select("a", "b")
+    out = materialise(known.where("linked").select("a", "b"))
+    discard(nodes, known)
+    return out
 
 
 def _split(star: DataFrame, known: DataFrame) -> DataFrame:
@@ -397,6 +399,7 @@ def join(docs: DataFrame) -> DataFrame:
     of = tied.groupBy("root").agg(F.min("own").alias("component_id"))
     comps = tied.select("sig", "root").distinct().join(of, "root").select("sig", "component_id")
     every = materialise(least.join(comps, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id")))
+    discard(nodes, found, roots)
     out = members.join(every, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
