@@ -8,6 +8,7 @@ from tessera.functions import colour as C
 from tessera.functions.numbers import byte, byte_sql, half_up, half_up_sql
 from tessera.plans import fixtures as X
 from tessera.plans.registry import query
+from tessera.plans.stencils import let
 
 RGB = tuple("rgb")
 
@@ -237,8 +238,9 @@ def nearest_palette(spark, sf):
 
 def _nearest(spark):
     rows = X.palette(spark).select("ord", "hex", C.lab(*(F.col(c) for c in ("pr", "pg", "pb"))).alias("w")).collect()
-    v = C.lab(*rgb())
-    return F.array_min(F.array(*(F.struct(C.distance(v, F.struct(*(F.lit(r["w"][c]).alias(c) for c in ("L", "a", "b")))).alias("de"), F.lit(r["ord"]).alias("ord"), F.lit(r["hex"]).alias("hex")) for r in rows)))
+    some = F.array(*(F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["hex"]).alias("hex"), *(F.lit(r["w"][c]).alias(c) for c in ("L", "a", "b"))) for r in rows))
+    near = lambda v: F.array_min(F.transform(some, lambda w: F.struct(C.distance(v, w).alias("de"), w["ord"].alias("ord"), w["hex"].alias("hex"))))
+    return let(C.lab(*rgb()), near)
 
 
 @query(
