@@ -15,8 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables a
 def _load():
     from tessera.plans import registry
 
-    if not registry.QUERIES:
-        registry.load()
+    registry.load()
     return registry
 
 
