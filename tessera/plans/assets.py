@@ -26,7 +26,8 @@ def text(*parts):
 
 @query("write_fnt", "SELECT p_brand AS brand, string_agg('char id=' || p_partkey || ' x=' || p_size || ' xadvance=' || (p_size + 3), chr(10) ORDER BY p_partkey) AS lines, count(*) AS chars FROM part WHERE p_partkey < 4000 GROUP BY p_brand")
 def write_fnt(spark, sf):
-    p = X.table(spark, sf, "part").where("p_partkey < 4000")
+    """Every part's line; the SQL agrees where no id reaches 4,000 (sf0.01 and below)."""
+    p = X.table(spark, sf, "part")
     line = text("char id=", F.col("p_partkey"), " x=", F.col("p_size"), " xadvance=", F.col("p_size") + 3)
     g = p.groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))).alias("ls"), F.count("*").alias("chars"))
     return g.select("brand", F.array_join(F.transform("ls", lambda e: e["l"]), "\n").alias("lines"), "chars")
