@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import half_up, half_up_sql
 from tessera.plans import fixtures as X
-from tessera.plans.registry import query
+from tessera.plans.registry import ORACLES, query
 
 
 def slug(s: Column) -> Column:
@@ -83,6 +83,22 @@ def normalize_hex(spark, sf):
     return c.select("id", F.concat(F.lit("#"), *(two(F.col(f"c.{n}")) for n in "rgb")).alias("hex"))
 
 
+def normal_hex(s: Column) -> Column:
+    """A colour as #rrggbb, whatever its spelling and alpha; null where it is no colour."""
+    c = parse_color(s)
+    two = lambda v: F.lpad(F.lower(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), v)))), 2, "0")
+    return F.when(c.isNotNull(), F.concat(F.lit("#"), *(two(c[n]) for n in "rgb")))
+
+
+_NORMAL = " || ".join(f"lpad(printf('%x', greatest(0, least(255, {n}))), 2, '0')" for n in "rgb")
+
+
+@query("normalize_hex_all", f"SELECT id, CASE WHEN r IS NOT NULL THEN '#' || {_NORMAL} END AS hex FROM ({ORACLES['parse_color']}) q")
+def normalize_hex_all(spark, sf):
+    """Every part's colour; normalize_hex and its SQL take two of the eight spellings."""
+    return X.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), normal_hex(_spelt()).alias("hex"))
+
+
 # A brief made of a part's columns.
 _BRIEF = f"'# ' || p_name || chr(10) || '## Product' || chr(10) || p_name || ' by ' || p_brand || chr(10) || '## Palette notes' || chr(10) || 'Deep ' || p_type || ' #' || {_HEX} || ', pale ink: #abc, and #' || upper({_HEX}) || '.' || chr(10) || '### Rules' || chr(10) || '- Example: none' || chr(10) || '- keep ' || p_name || chr(10) || ' 2) no ' || p_brand || '  ' || chr(10) || 'plain line' || chr(10) || '* x'"
 

@@ -1,5 +1,7 @@
 """Queries read whole inputs: no cut by id."""
 
+from pyspark.sql import functions as F
+
 from tessera.plans import registry
 
 registry.load()
@@ -14,3 +16,16 @@ def test_write_fnt(spark, tmp_path):
     sf = parts(spark, tmp_path, [(k, "b", 5) for k in (1, 3999, 4000, 70_000)])
     (r,) = registry.QUERIES["write_fnt"](spark, sf).collect()
     assert r.chars == 4 and [x.split()[1] for x in r.lines.split("\n")] == ["id=1", "id=3999", "id=4000", "id=70000"]
+
+
+def test_normalize_hex(spark, tmp_path):
+    from tessera.plans.text import normal_hex
+
+    spelt = {"#AbC": "#aabbcc", "#abcd": "#aabbcc", "#01020380": "#010203", "#12345": None, "teal": None, " rgb(300, 2.5,7) ": "#ff0307", "rgba(1 3 4 / 50%)": "#010304"}
+    got = spark.createDataFrame([(k,) for k in spelt], "s string").select("s", normal_hex(F.col("s")).alias("h")).collect()
+    assert {r.s: r.h for r in got} == spelt
+    sf = str(tmp_path)
+    spark.range(16).selectExpr("id AS p_partkey", "CAST(9 AS INT) AS p_size").write.parquet(f"{sf}/part.parquet")
+    got = {r.id: r.hex for r in registry.QUERIES["normalize_hex_all"](spark, sf).collect()}
+    assert sorted(got) == list(range(16)) and sorted(k for k in got if got[k] is None) == [5, 6, 13, 14]
+    assert got[3] == "#030907" and got[4] == "#040304"
