@@ -29,3 +29,13 @@ def test_normalize_hex(spark, tmp_path):
     got = {r.id: r.hex for r in registry.QUERIES["normalize_hex_all"](spark, sf).collect()}
     assert sorted(got) == list(range(16)) and sorted(k for k in got if got[k] is None) == [5, 6, 13, 14]
     assert got[3] == "#030907" and got[4] == "#040304"
+
+
+def test_strip_aspect(spark, tmp_path):
+    sizes = {1: "1:1", 2: "3:2", 3: "16:9", 4: "16:9", 5: "21:9", 40: "21:9"}
+    rows = [(k, n) for n in sizes for k in range(n)]
+    made = spark.createDataFrame([(1000 * n + k, n) for k, n in rows], "vec_id bigint, label int")
+    made.selectExpr("*", "array_repeat(CAST(0 AS FLOAT), 64) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(n,) for _, n in rows], "l_orderkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("strip_aspect_all", "strip_aspect_orders"):
+        assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect())) == [(n, n, a) for n, a in sizes.items()]
