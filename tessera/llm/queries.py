@@ -46,8 +46,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_shards.records(table(spark, sf_dir, "documents"))
+def op9_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return token_shards.shards(table(spark, sf_dir, "documents"), tokenizer or bpe.default_path())
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

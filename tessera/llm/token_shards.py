@@ -1,24 +1,35 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
-Documents become sequences of a fixed number of one-byte tokens. Every sequence has an index (a distributed prefix sum
+Documents become sequences of a fixed number of tokens of a fixed width in bytes: ids of a tokenizer or UTF-8 bytes. Every sequence has an index (a distributed prefix sum
 over hash ranges of doc_id), a keyed Feistel permutation with cycle-walking gives each index a slot, all slots of 0..n-1
-being taken once, and a range partition by slot brings the records into training order. A shard is a run of slots; its
-records have one stride, so that a reader resumes at any slot by a multiplication.
+being taken once, and a range partition by shard brings the records into training order. A shard is a run of slots in
+one file of the shared folder; its records have one stride, so that a reader resumes at any slot by a multiplication.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm import bpe
+from tessera.llm.common import discard, map_rows, materialise, shared_dir
 
-#: Tokens of a record, slots of a shard, and the two token values that UTF-8 never has.
+#: Tokens of a record, slots of a shard, and the two token values that UTF-8 never has. Of wider tokens, END and PAD are
+#: the two largest, as END or PAD before bytes of 0xFF.
 STRIDE, SHARD_SLOTS, END, PAD = 2048, 1024, 0xFE, 0xFF
 ROUNDS = 4
 ROWS_PER_RANGE, MOST_RANGES = 4096, 1 << 16
+#: Bytes of an id of the query, and the words whose packed ids a task remembers.
+ID_BYTES, REMEMBERED = 2, 1 << 17
+INDEX = ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens")
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -52,13 +63,58 @@ def slot_of(index: Column, n: int, key: int) -> Column:
     return f(index)
 
 
-def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """Rows (slot, shard, byte_offset, doc_id, seq, n_tokens, record), in slot order within and across partitions.
+def packed_bytes(ids: list[int] | np.ndarray, width: int) -> bytes:
+    """ids as little-endian numbers of width bytes; refuses those that would be END, PAD or cut off."""
+    a = np.asarray(ids, np.int64)
+    if a.size and (a.min() < 0 or a.max() >= 256**width - 2):
+        raise ValueError(f"an id is not in 0..{256**width - 3}")
+    return a.astype(f"<u{width}").tobytes()
+
+
+def pack(docs: DataFrame, tokens: str, width: int) -> DataFrame:
+    """Rows (doc_id, raw) of the array<int> column `tokens`; null is empty."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return map_rows(docs.select("doc_id", tokens), lambda k, v: [(a, packed_bytes(x or [], width)) for a, x in zip(k, v, strict=True)], f"doc_id {kind}, raw binary")
+
+
+def pack_texts(docs: DataFrame, path: str, width: int = ID_BYTES) -> DataFrame:
+    """pack() of the ids that bpe.encode() gives, with each word packed once."""
+    send = bpe._vocabulary(docs, path)
+    kind = dict(docs.dtypes)["doc_id"]
+    known: dict[str, bytes] = {}
+
+    def run(doc_id, text):
+        b = bpe._loaded(send.value)
+        for at in range(0, len(text), 64):
+            split = [b.split(t or "") for t in text[at : at + 64]]
+            words = set().union(*split)
+            if len(known) > REMEMBERED:
+                known.clear()
+            # Words of many texts are merged in one call, which costs far less than a call a text.
+            new = [x for x in words if x not in known]
+            known.update(zip(new, (packed_bytes(x, width) for x in b._encode_set(new)), strict=True))
+            for k, v in zip(doc_id[at : at + 64], split, strict=True):
+                yield k, b"".join([known[x] for x in v])
+
+    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, raw binary")
+
 
-    A text gives its UTF-8 bytes and END, cut into records of `stride` tokens, the last filled up with PAD; a null text
-    counts as empty, so every row of docs has a record. Equal rows are interchangeable.
+def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, tokens: str | None = None, width: int = 1) -> DataFrame:
+    """Rows (slot, shard, byte_offset, doc_id, seq, n_tokens, record), in slot order, shards whole within partitions.
+
+    tokens: a column of ids (array<int>) or of packed ids (binary) of width bytes each; without it a text gives its UTF-8
+    bytes. The tokens and END are cut into records of `stride` tokens, the last filled up with PAD; null counts as empty,
+    so every row of docs has a record. Equal rows are interchangeable.
     """
-    d = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    if tokens is None:
+        if width != 1:
+            raise ValueError("bytes of a text are one byte wide")
+        d = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    elif dict(docs.dtypes)[tokens] == "binary":
+        d = docs.select("doc_id", F.coalesce(tokens, F.unhex(F.lit(""))).alias("raw"))
+    else:
+        d = pack(docs, tokens, width)
+    end, stride = bytes([END]) + b"\xff" * (width - 1), stride * width
     pieces = F.floor(F.octet_length("raw") / stride) + 1
     name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     small = materialise(d.select("doc_id", name.alias("k"), pieces.alias("pieces"), F.xxhash64("raw").alias("x")))
@@ -86,7 +142,7 @@ def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots
     cut_up = d.join(based, hit).select("doc_id", "raw", "base", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("p", "seq"))
     token = F.substring("raw", (F.col("seq") * stride + 1).cast("int"), F.lit(stride))
     last = (F.col("seq") + 1) * stride > F.octet_length("raw")
-    token = F.when(last, F.concat(token, F.unhex(F.lit(f"{END:02X}")))).otherwise(token)
+    token = F.when(last, F.concat(token, F.unhex(F.lit(end.hex())))).otherwise(token)
     out = cut_up.select("doc_id", "seq", slot_of(F.col("base") + F.col("seq"), total, key).alias("slot"), token.alias("tokens"))
     out = out.select(
         "slot",
@@ -94,7 +150,104 @@ def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots
         (F.col("slot") % shard_slots * stride).alias("byte_offset"),
         "doc_id",
         F.col("seq").cast("int").alias("seq"),
-        F.octet_length("tokens").alias("n_tokens"),
+        (F.octet_length("tokens") / width).cast("int").alias("n_tokens"),
         F.rpad("tokens", stride, F.unhex(F.lit(f"{PAD:02X}"))).alias("record"),
     )
-    return out.repartitionByRange("slot").sortWithinPartitions("slot")
+    return out.repartitionByRange("shard").sortWithinPartitions("slot")
+
+
+def shard_file(folder: str, shard: int) -> str:
+    return f"{folder}/shard-{shard:08d}.bin"
+
+
+def write(recs: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, width: int = 1) -> DataFrame:
+    """One file a shard of records() in the folder path (a URI), then manifest.json; the index, rows of INDEX, written.
+
+    A file gets its name when it is whole, so that a task that runs again replaces it.
+    """
+    fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1])
+
+    def run(batches):
+        store, folder = fs.FileSystem.from_uri(path)
+        now, want, out, part = -1, 0, None, ""
+
+        def close():
+            if out is not None:
+                out.close()
+                store.move(part, shard_file(folder, now))
+
+        for b in batches:
+            for slot, record in zip(b.column("slot").to_pylist(), b.column("record").to_pylist(), strict=True):
+                if slot // shard_slots != now:
+                    close()
+                    now, want = slot // shard_slots, slot // shard_slots * shard_slots
+                    part = f"{folder}/_{uuid.uuid4().hex}"
+                    out = store.open_output_stream(part)
+                if slot != want or len(record) != stride * width:
+                    raise ValueError(f"slot {slot} of {len(record)} bytes where {want} of {stride * width} is due")
+                out.write(record)
+                want += 1
+            yield b.select(list(INDEX))
+        close()
+
+    index = materialise(recs.mapInArrow(run, recs.select(*INDEX).schema))
+    n, last = index.agg(F.count("*"), F.max("slot")).first()
+    if n != (-1 if last is None else last) + 1:
+        raise ValueError(f"{n} records up to slot {last}")
+    store, folder = fs.FileSystem.from_uri(path)
+    with store.open_output_stream(f"{folder}/manifest.json") as f:
+        f.write(json.dumps({"slots": n, "stride": stride, "shard_slots": shard_slots, "width": width}).encode())
+    return index
+
+
+def resume(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, tokens) from a slot on in training order, END kept and PAD left out; one seek, no record before it is read."""
+    store, folder = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(f"{folder}/manifest.json") as f:
+        m = json.loads(f.read())
+    size, per, n = m["stride"] * m["width"], m["shard_slots"], m["slots"]
+    while slot < n:
+        with store.open_input_file(shard_file(folder, slot // per)) as f:
+            f.seek(slot % per * size)
+            for at in range(slot, min(n, (slot // per + 1) * per)):
+                record = f.read(size)
+                if len(record) != size:
+                    raise ValueError(f"slot {at} is cut short")
+                v = np.frombuffer(record, f"<u{m['width']}")
+                yield at, v[v != 256 ** m["width"] - 1]
+                slot = at + 1
+
+
+def read(index: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, width: int = 1) -> DataFrame:
+    """The rows of records() from write()'s index and files, in slot order."""
+    schema = f"{', '.join(f'{c} {t}' for c, t in index.dtypes)}, record binary"
+    target = index.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        store, folder = fs.FileSystem.from_uri(path)
+        now, f = -1, None
+        for b in batches:
+            got = []
+            for shard, at in zip(b.column("shard").to_pylist(), b.column("byte_offset").to_pylist(), strict=True):
+                if shard != now:
+                    if f is not None:
+                        f.close()
+                    now, f = shard, store.open_input_file(shard_file(folder, shard))
+                f.seek(at)
+                got.append(f.read(stride * width))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], schema=to_arrow_schema(target))
+        if f is not None:
+            f.close()
+
+    return index.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(run, target)
+
+
+def shards(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """records() of the tokenizer's ids, by way of shard files in the shared folder, which stay for readers."""
+    path = f"{shared_dir(docs.sparkSession)}/tessera/shards-{uuid.uuid4().hex}"
+    packed = materialise(pack_texts(docs, tokenizer))
+    index = write(records(packed, tokens="raw", width=ID_BYTES), path, width=ID_BYTES)
+    discard(packed)
+    return read(index, path, width=ID_BYTES)
