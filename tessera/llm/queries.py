@@ -46,8 +46,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-def op9_token_shards(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return token_shards.shards(table(spark, sf_dir, "documents"), tokenizer or bpe.default_path())
+def op9_token_shards(spark: SparkSession, sf_dir: str, ranks: tuple[str, str] | None = None) -> DataFrame:
+    """Every text (null: empty) as records of two-byte ids in training order, read back from shard files; see token_shards.records()."""
+    return token_shards.shards(table(spark, sf_dir, "documents"), *(ranks or token_shards.default_ranks()))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

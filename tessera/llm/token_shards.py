@@ -1,34 +1,39 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
-Documents become sequences of a fixed number of tokens of a fixed width in bytes: ids of a tokenizer or UTF-8 bytes. Every sequence has an index (a distributed prefix sum
-over hash ranges of doc_id), a keyed Feistel permutation with cycle-walking gives each index a slot, all slots of 0..n-1
-being taken once, and a range partition by shard brings the records into training order. A shard is a run of slots in
-one file of the shared folder; its records have one stride, so that a reader resumes at any slot by a multiplication.
+Documents become sequences of a fixed number of tokens of a fixed width in bytes: ids of a tokenizer or UTF-8 bytes. One
+narrow pass cuts every document and numbers the sequences of its task; the tasks' totals, a row each, are summed to give
+every sequence its index. A keyed Feistel permutation with cycle-walking gives each index a slot, all slots of 0..n-1
+being taken once. Slots are dense, so that a shard's partition is a division: tokens are shuffled once, unpadded and
+without sampling. A shard is a run of slots in one file of the shared folder; its records have one stride, so that a
+reader resumes at any slot by a multiplication. The order follows from the key and from the files that the input was
+read by; the written table fixes it for whatever comes after.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe
-from tessera.llm.common import discard, map_rows, materialise, shared_dir
+from tessera.llm.common import discard, materialise, shared_dir
 
 #: Tokens of a record, slots of a shard, and the two token values that UTF-8 never has. Of wider tokens, END and PAD are
 #: the two largest, as END or PAD before bytes of 0xFF.
 STRIDE, SHARD_SLOTS, END, PAD = 2048, 1024, 0xFE, 0xFF
 ROUNDS = 4
-ROWS_PER_RANGE, MOST_RANGES = 4096, 1 << 16
-#: Bytes of an id of the query, and the words whose packed ids a task remembers.
-ID_BYTES, REMEMBERED = 2, 1 << 17
+#: Of the query: bytes of an id, and ids of a record, which takes the bytes that STRIDE one-byte tokens take.
+ID_BYTES, ID_STRIDE = 2, STRIDE // 2
+#: Bytes of tokens that a partition of whole shards should hold, and that an Arrow batch may grow to.
+PARTITION_BYTES, BATCH_BYTES = 128 << 20, 4 << 20
 INDEX = ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens")
 
 
@@ -71,32 +76,60 @@ def packed_bytes(ids: list[int] | np.ndarray, width: int) -> bytes:
     return a.astype(f"<u{width}").tobytes()
 
 
-def pack(docs: DataFrame, tokens: str, width: int) -> DataFrame:
-    """Rows (doc_id, raw) of the array<int> column `tokens`; null is empty."""
+def _cut(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes]], stride: int, width: int) -> DataFrame:
+    """Rows (doc_id, seq, part, inner, tokens): each document's packed tokens and END, cut; inner counts those of the task part."""
     kind = dict(docs.dtypes)["doc_id"]
-    return map_rows(docs.select("doc_id", tokens), lambda k, v: [(a, packed_bytes(x or [], width)) for a, x in zip(k, v, strict=True)], f"doc_id {kind}, raw binary")
+    fields = docs.sparkSession.createDataFrame([], f"doc_id {kind}, seq int, part int, inner bigint, tokens binary").schema
+    end, size = bytes([END]) + b"\xff" * (width - 1), stride * width
 
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-def pack_texts(docs: DataFrame, path: str, width: int = ID_BYTES) -> DataFrame:
-    """pack() of the ids that bpe.encode() gives, with each word packed once."""
-    send = bpe._vocabulary(docs, path)
-    kind = dict(docs.dtypes)["doc_id"]
-    known: dict[str, bytes] = {}
+        schema, part, inner = to_arrow_schema(fields), TaskContext.get().partitionId(), 0
 
-    def run(doc_id, text):
-        b = bpe._loaded(send.value)
-        for at in range(0, len(text), 64):
-            split = [b.split(t or "") for t in text[at : at + 64]]
-            words = set().union(*split)
-            if len(known) > REMEMBERED:
-                known.clear()
-            # Words of many texts are merged in one call, which costs far less than a call a text.
-            new = [x for x in words if x not in known]
-            known.update(zip(new, (packed_bytes(x, width) for x in b._encode_set(new)), strict=True))
-            for k, v in zip(doc_id[at : at + 64], split, strict=True):
-                yield k, b"".join([known[x] for x in v])
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return map_rows(docs.select("doc_id", "text"), run, f"doc_id {kind}, raw binary")
+        for b in batches:
+            rows, held = [], 0
+            for doc_id, raw in zip(b.column(0).to_pylist(), pack(b.column(1).to_pylist()), strict=True):
+                whole = raw + end
+                for seq, at in enumerate(range(0, len(whole), size)):
+                    rows.append((doc_id, seq, part, inner, whole[at : at + size]))
+                    inner, held = inner + 1, held + size
+                    if held >= BATCH_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return docs.select("doc_id", column.alias("tokens")).mapInArrow(run, fields)
+
+
+def _in_order(cut: DataFrame, key: int, stride: int, shard_slots: int, width: int) -> DataFrame:
+    """records() of the written rows of _cut()."""
+    per_task = cut.groupBy("part").agg((F.max("inner") + 1).alias("n"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a task, however large the table is.
+    offsets = materialise(per_task.select("part", "n", "bytes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    total, held = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    shards = max(1, -(-total // shard_slots))
+    least = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(shards, max(least, -(-held // PARTITION_BYTES)))
+    out = cut.join(F.broadcast(offsets.select("part", "offset")), "part")
+    out = out.select("doc_id", "seq", slot_of(F.col("offset") + F.col("inner"), total, key).alias("slot"), "tokens")
+    shard = F.floor(F.col("slot") / shard_slots)
+    # A partition holds a run of whole shards.
+    out = out.repartitionById(parts, F.floor(shard * parts / shards).cast("int")).sortWithinPartitions("slot")
+    return out.select(
+        "slot",
+        shard.alias("shard"),
+        (F.col("slot") % shard_slots * (stride * width)).alias("byte_offset"),
+        "doc_id",
+        "seq",
+        (F.octet_length("tokens") / width).cast("int").alias("n_tokens"),
+        F.rpad("tokens", stride * width, F.unhex(F.lit(f"{PAD:02X}"))).alias("record"),
+    )
 
 
 def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, tokens: str | None = None, width: int = 1) -> DataFrame:
@@ -104,56 +137,44 @@ def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots
 
     tokens: a column of ids (array<int>) or of packed ids (binary) of width bytes each; without it a text gives its UTF-8
     bytes. The tokens and END are cut into records of `stride` tokens, the last filled up with PAD; null counts as empty,
-    so every row of docs has a record. Equal rows are interchangeable.
+    so every row of docs has a record, repeated rows and null ids too. A long text has as many records as it needs; an
+    empty table has none. Other columns are ignored. Equal rows are interchangeable.
     """
     if tokens is None:
         if width != 1:
             raise ValueError("bytes of a text are one byte wide")
-        d = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+        column, pack = F.encode(F.coalesce("text", F.lit("")), "UTF-8"), _as_they_are
     elif dict(docs.dtypes)[tokens] == "binary":
-        d = docs.select("doc_id", F.coalesce(tokens, F.unhex(F.lit(""))).alias("raw"))
-    else:
-        d = pack(docs, tokens, width)
-    end, stride = bytes([END]) + b"\xff" * (width - 1), stride * width
-    pieces = F.floor(F.octet_length("raw") / stride) + 1
-    name = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    small = materialise(d.select("doc_id", name.alias("k"), pieces.alias("pieces"), F.xxhash64("raw").alias("x")))
-    rows = small.count()
-    ranges = 1
-    while ranges < MOST_RANGES and ranges * ROWS_PER_RANGE < rows:
-        ranges *= 2
-    cut = (F.conv(F.substring("k", 1, 4), 16, 10).cast("long") * ranges / 65536).cast("long")
-    small = small.withColumn("range", cut)
-    sums = small.groupBy("range").agg(F.sum("pieces").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = materialise(sums.select("range", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    total = offsets.agg(F.sum("n")).first()[0] or 0
-    inside = Window.partitionBy("range").orderBy("k", "doc_id", "x").rowsBetween(Window.unboundedPreceding, -1)
-    # Rows with the same doc_id and text are told apart by their number among themselves.
-    same = Window.partitionBy("doc_id", "x").orderBy("base")
-    based = small.join(offsets, "range").withColumn("base", F.col("offset") + F.coalesce(F.sum("pieces").over(inside), F.lit(0)))
-    if small.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        based = based.withColumn("copy", F.row_number().over(same))
-        d = d.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("raw")).orderBy(F.lit(1))))
+        column, pack = F.col(tokens), _as_they_are
     else:
-        based, d = based.withColumn("copy", F.lit(1)), d.withColumn("copy", F.lit(1))
-    based = based.select(F.col("doc_id").alias("id"), "x", "copy", "base", "pieces")
-    hit = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("raw") == F.col("x")) & (d["copy"] == based["copy"])
-    cut_up = d.join(based, hit).select("doc_id", "raw", "base", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("p", "seq"))
-    token = F.substring("raw", (F.col("seq") * stride + 1).cast("int"), F.lit(stride))
-    last = (F.col("seq") + 1) * stride > F.octet_length("raw")
-    token = F.when(last, F.concat(token, F.unhex(F.lit(end.hex())))).otherwise(token)
-    out = cut_up.select("doc_id", "seq", slot_of(F.col("base") + F.col("seq"), total, key).alias("slot"), token.alias("tokens"))
-    out = out.select(
-        "slot",
-        F.floor(F.col("slot") / shard_slots).alias("shard"),
-        (F.col("slot") % shard_slots * stride).alias("byte_offset"),
-        "doc_id",
-        F.col("seq").cast("int").alias("seq"),
-        (F.octet_length("tokens") / width).cast("int").alias("n_tokens"),
-        F.rpad("tokens", stride, F.unhex(F.lit(f"{PAD:02X}"))).alias("record"),
-    )
-    return out.repartitionByRange("shard").sortWithinPartitions("slot")
+        column, pack = F.col(tokens), lambda lists: [packed_bytes(x or [], width) for x in lists]
+    return _in_order(materialise(_cut(docs, column, pack, stride, width)), key, stride, shard_slots, width)
+
+
+def _as_they_are(raw: list[bytes | None]) -> list[bytes]:
+    return [x or b"" for x in raw]
+
+
+_ENCODERS: dict[str, object] = {}
+
+
+def text_packer(ranks_path: str, pattern: str, send=None) -> Callable[[list], list[bytes]]:
+    """Packs texts (null: empty) as two-byte ids of the byte-level BPE of a ranks file, by the tiktoken library.
+
+    send: a broadcast of the file's bytes, so that executors need no copy of the file.
+    """
+
+    def pack(texts):
+        import tiktoken
+
+        if ranks_path not in _ENCODERS:
+            data = send.value if send is not None else open(ranks_path, "rb").read()
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+            _ENCODERS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        e = _ENCODERS[ranks_path]
+        return [packed_bytes(e.encode_to_numpy(t, disallowed_special=()) if t else [], ID_BYTES) for t in texts]
+
+    return pack
 
 
 def shard_file(folder: str, shard: int) -> str:
@@ -241,13 +262,25 @@ def read(index: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = S
         if f is not None:
             f.close()
 
-    return index.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(run, target)
+    parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    return index.repartitionById(parts, F.floor(F.col("shard") * parts / last).cast("int")).sortWithinPartitions("slot").mapInArrow(run, target)
+
+
+def default_ranks() -> tuple[str, str]:
+    """The ranks file and the split pattern of the byte-level vocabulary among the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def shards(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """records() of the tokenizer's ids, by way of shard files in the shared folder, which stay for readers."""
-    path = f"{shared_dir(docs.sparkSession)}/tessera/shards-{uuid.uuid4().hex}"
-    packed = materialise(pack_texts(docs, tokenizer))
-    index = write(records(packed, tokens="raw", width=ID_BYTES), path, width=ID_BYTES)
-    discard(packed)
-    return read(index, path, width=ID_BYTES)
+def shards(docs: DataFrame, ranks_path: str, pattern: str, key: int = 20_26) -> DataFrame:
+    """records() of the vocabulary's ids, by way of shard files in the shared folder, which stay for readers."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/tessera/shards-{uuid.uuid4().hex}"
+    with open(ranks_path, "rb") as f:
+        send = spark.sparkContext.broadcast(f.read())
+    cut = materialise(_cut(docs, F.col("text"), text_packer(ranks_path, pattern, send), ID_STRIDE, ID_BYTES))
+    index = write(_in_order(cut, key, ID_STRIDE, SHARD_SLOTS, ID_BYTES), path, ID_STRIDE, width=ID_BYTES)
+    discard(cut)
+    return read(index, path, ID_STRIDE, width=ID_BYTES)

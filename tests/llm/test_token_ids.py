@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import bpe, queries, token_shards
+from tessera.llm import queries, token_shards
 from tessera.llm.common import reach_package, table
 
 SF = "/root/testdata/sf0.001"
@@ -39,10 +39,53 @@ def test_width_is_enough():
         token_shards.packed_bytes([65_534], 2)
 
 
+def brute_slot(index, n, key):
+    """One index at a time, in whole numbers: the network over 2 * half bits, walked until the value is below n."""
+    big, half = 2**64 - 1, max(1, ((n - 1).bit_length() + 1) // 2) if n > 1 else 1
+
+    def mix(x, k):
+        x = (x ^ k) * 0xBF58476D1CE4E5B9 & big
+        x ^= x >> 29
+        x = x * 0x94D049BB133111EB & big
+        return x ^ x >> 32
+
+    while True:
+        left, right = index >> half, index % 2**half
+        for r in range(4):
+            left, right = right, left ^ mix(right, key * 4 + r + 1) % 2**half
+        index = left * 2**half + right
+        if index < n:
+            return index
+
+
+def test_slots_by_whole_numbers():
+    for n in (1, 2, 77, 1025):
+        assert token_shards.feistel(np.arange(n), n, 2026).tolist() == [brute_slot(i, n, 2026) for i in range(n)]
+
+
 def test_query_has_the_tokenizers_ids(spark):
-    docs = table(spark, SF, "documents")
-    want = {r.doc_id: r.ids for r in bpe.encode(docs, bpe.default_path()).collect()}
-    got = defaultdict(dict)
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    lib.encode_special_tokens = True
+    want = {r.doc_id: lib.encode(r.text or "", add_special_tokens=False).ids for r in table(spark, SF, "documents").collect()}
+    got, slots = defaultdict(dict), []
     for r in queries.op9_token_shards(spark, SF).collect():
+        assert len(r.record) == 2048 and (r.shard, r.byte_offset) == (r.slot // 1024, r.slot % 1024 * 2048)
+        slots.append(r.slot)
         got[r.doc_id][r.seq] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens].tolist()
+    assert slots == list(range(len(slots)))
     assert {k: sum((v[i] for i in sorted(v)), []) for k, v in got.items()} == {k: [*v, 0xFFFE] for k, v in want.items()}
+
+
+def test_a_text_over_several_shards(spark, tmp_path):
+    """One document of more records than a shard has slots, repeated rows, null ids and an empty table."""
+    long = "x" * 5000
+    d = spark.createDataFrame([(1, long), (1, long), (None, "n"), (None, "n"), (2, None)], "doc_id bigint, text string")
+    got = token_shards.records(d, stride=64, shard_slots=16).collect()
+    assert [r.slot for r in got] == list(range(2 * 79 + 3)) and max(r.shard for r in got) == 10
+    assert sum(bytes(r.record).count(b"x") for r in got) == 10_000
+    path = f"file://{tmp_path}/long"
+    token_shards.write(token_shards.records(d.limit(0)), path)
+    assert list(token_shards.resume(path)) == []
