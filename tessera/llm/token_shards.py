@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
@@ -30,8 +31,8 @@ from tessera.llm.common import discard, materialise, shared_dir
 #: the two largest, as END or PAD before bytes of 0xFF.
 STRIDE, SHARD_SLOTS, END, PAD = 2048, 1024, 0xFE, 0xFF
 ROUNDS = 4
-#: Of the query: bytes of an id, and ids of a record, which takes the bytes that STRIDE one-byte tokens take.
-ID_BYTES, ID_STRIDE = 2, STRIDE // 2
+#: Of the query: bytes of an id, and ids of a record. A document fills its last record up, half a record on average.
+ID_BYTES, ID_STRIDE = 2, 512
 #: Bytes of tokens that a partition of whole shards should hold, and that an Arrow batch may grow to.
 PARTITION_BYTES, BATCH_BYTES = 128 << 20, 4 << 20
 INDEX = ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens")
@@ -77,15 +78,19 @@ def packed_bytes(ids: list[int] | np.ndarray, width: int) -> bytes:
 
 
 def _cut(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes]], stride: int, width: int) -> DataFrame:
-    """Rows (doc_id, seq, part, inner, tokens): each document's packed tokens and END, cut; inner counts those of the task part."""
+    """Rows (doc_id, seq, part, inner, n_tokens, tokens): each document's packed tokens and END, cut; inner counts those of the task part.
+
+    Tokens are compressed: they are written once and shuffled once, which costs far more than to compress them.
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    fields = docs.sparkSession.createDataFrame([], f"doc_id {kind}, seq int, part int, inner bigint, tokens binary").schema
+    fields = docs.sparkSession.createDataFrame([], f"doc_id {kind}, seq int, part int, inner bigint, n_tokens int, tokens binary").schema
     end, size = bytes([END]) + b"\xff" * (width - 1), stride * width
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema, part, inner = to_arrow_schema(fields), TaskContext.get().partitionId(), 0
+        squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
 
         def batch(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -95,7 +100,8 @@ def _cut(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes]], s
             for doc_id, raw in zip(b.column(0).to_pylist(), pack(b.column(1).to_pylist()), strict=True):
                 whole = raw + end
                 for seq, at in enumerate(range(0, len(whole), size)):
-                    rows.append((doc_id, seq, part, inner, whole[at : at + size]))
+                    tokens = whole[at : at + size]
+                    rows.append((doc_id, seq, part, inner, len(tokens) // width, squeeze(tokens)))
                     inner, held = inner + 1, held + size
                     if held >= BATCH_BYTES:
                         yield batch(rows)
@@ -107,17 +113,17 @@ def _cut(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes]], s
 
 
 def _in_order(cut: DataFrame, key: int, stride: int, shard_slots: int, width: int) -> DataFrame:
-    """records() of the written rows of _cut()."""
-    per_task = cut.groupBy("part").agg((F.max("inner") + 1).alias("n"), F.sum(F.octet_length("tokens")).alias("bytes"))
+    """records() of the written rows of _cut(), but with compressed tokens in place of the record."""
+    per_task = cut.groupBy("part").agg((F.max("inner") + 1).alias("n"), F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a task, however large the table is.
-    offsets = materialise(per_task.select("part", "n", "bytes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    total, held = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    offsets = materialise(per_task.select("part", "n", "n_tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    total, held = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_tokens") * width, F.lit(0))).first()
     shards = max(1, -(-total // shard_slots))
     least = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = min(shards, max(least, -(-held // PARTITION_BYTES)))
     out = cut.join(F.broadcast(offsets.select("part", "offset")), "part")
-    out = out.select("doc_id", "seq", slot_of(F.col("offset") + F.col("inner"), total, key).alias("slot"), "tokens")
+    out = out.select("doc_id", "seq", slot_of(F.col("offset") + F.col("inner"), total, key).alias("slot"), "n_tokens", "tokens")
     shard = F.floor(F.col("slot") / shard_slots)
     # A partition holds a run of whole shards.
     out = out.repartitionById(parts, F.floor(shard * parts / shards).cast("int")).sortWithinPartitions("slot")
@@ -127,11 +133,17 @@ def _in_order(cut: DataFrame, key: int, stride: int, shard_slots: int, width: in
         (F.col("slot") % shard_slots * (stride * width)).alias("byte_offset"),
         "doc_id",
         "seq",
-        (F.octet_length("tokens") / width).cast("int").alias("n_tokens"),
-        F.rpad("tokens", stride * width, F.unhex(F.lit(f"{PAD:02X}"))).alias("record"),
+        "n_tokens",
+        "tokens",
     )
 
 
+def _whole(column: pa.Array, size: int) -> list[bytes]:
+    """Compressed tokens as records: filled up with PAD."""
+    expand, pad = zstandard.ZstdDecompressor().decompress, bytes([PAD])
+    return [expand(x.as_buffer()).ljust(size, pad) for x in column]
+
+
 def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, tokens: str | None = None, width: int = 1) -> DataFrame:
     """Rows (slot, shard, byte_offset, doc_id, seq, n_tokens, record), in slot order, shards whole within partitions.
 
@@ -148,7 +160,14 @@ def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots
         column, pack = F.col(tokens), _as_they_are
     else:
         column, pack = F.col(tokens), lambda lists: [packed_bytes(x or [], width) for x in lists]
-    return _in_order(materialise(_cut(docs, column, pack, stride, width)), key, stride, shard_slots, width)
+    recs = _in_order(materialise(_cut(docs, column, pack, stride, width)), key, stride, shard_slots, width)
+    target = recs.select(*INDEX, F.col("tokens").alias("record")).schema
+
+    def fill(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(_whole(b.column(len(INDEX)), stride * width), pa.binary())], names=[*INDEX, "record"])
+
+    return recs.mapInArrow(fill, target)
 
 
 def _as_they_are(raw: list[bytes | None]) -> list[bytes]:
@@ -172,7 +191,9 @@ def text_packer(ranks_path: str, pattern: str, send=None) -> Callable[[list], li
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
             _ENCODERS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         e = _ENCODERS[ranks_path]
-        return [packed_bytes(e.encode_to_numpy(t, disallowed_special=()) if t else [], ID_BYTES) for t in texts]
+        if e.n_vocab > 256**ID_BYTES - 2:
+            raise ValueError("the vocabulary needs wider ids")
+        return [e.encode_to_numpy(t, disallowed_special=()).astype("<u2").tobytes() if t else b"" for t in texts]
 
     return pack
 
@@ -184,6 +205,8 @@ def shard_file(folder: str, shard: int) -> str:
 def write(recs: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, width: int = 1) -> DataFrame:
     """One file a shard of records() in the folder path (a URI), then manifest.json; the index, rows of INDEX, written.
 
+    In place of the record, recs may have the compressed `tokens` of _in_order().
+
     A file gets its name when it is whole, so that a task that runs again replaces it.
     """
     fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1])
@@ -198,7 +221,8 @@ def write(recs: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = S
                 store.move(part, shard_file(folder, now))
 
         for b in batches:
-            for slot, record in zip(b.column("slot").to_pylist(), b.column("record").to_pylist(), strict=True):
+            held = _whole(b.column("tokens"), stride * width) if "tokens" in b.schema.names else b.column("record").to_pylist()
+            for slot, record in zip(b.column("slot").to_pylist(), held, strict=True):
                 if slot // shard_slots != now:
                     close()
                     now, want = slot // shard_slots, slot // shard_slots * shard_slots

@@ -72,7 +72,7 @@ def test_query_has_the_tokenizers_ids(spark):
     want = {r.doc_id: lib.encode(r.text or "", add_special_tokens=False).ids for r in table(spark, SF, "documents").collect()}
     got, slots = defaultdict(dict), []
     for r in queries.op9_token_shards(spark, SF).collect():
-        assert len(r.record) == 2048 and (r.shard, r.byte_offset) == (r.slot // 1024, r.slot % 1024 * 2048)
+        assert len(r.record) == 1024 and (r.shard, r.byte_offset) == (r.slot // 1024, r.slot % 1024 * 1024)
         slots.append(r.slot)
         got[r.doc_id][r.seq] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens].tolist()
     assert slots == list(range(len(slots)))
