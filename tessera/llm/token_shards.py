@@ -1,31 +1,31 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
-Documents become sequences of a fixed number of tokens of a fixed width in bytes: ids of a tokenizer or UTF-8 bytes. One
-narrow pass cuts every document and numbers the sequences of its task; the tasks' totals, a row each, are summed to give
-every sequence its index. A keyed Feistel permutation with cycle-walking gives each index a slot, all slots of 0..n-1
-being taken once. Slots are dense, so that a shard's partition is a division: tokens are shuffled once, unpadded and
-without sampling. A shard is a run of slots in one file of the shared folder; its records have one stride, so that a
-reader resumes at any slot by a multiplication. The order follows from the key and from the files that the input was
-read by; the written table fixes it for whatever comes after.
+Documents become sequences of a fixed number of tokens of a fixed width in bytes: ids of a tokenizer or UTF-8 bytes. A
+first pass over the input files counts the sequences of each file split, a row each, and prefix sums over the splits
+give every sequence its index; nothing but these counts is written. A keyed Feistel permutation with cycle-walking gives
+each index a slot, all slots of 0..n-1 being taken once. Slots are dense, so that a shard's partition is a division:
+tokens are shuffled once, unpadded and without sampling. A shard is a run of slots in one file of the shared folder; its
+records have one stride, so that a reader resumes at any slot by a multiplication. The order follows from the key and
+the input files.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise, shared_dir
+from tessera.llm.common import few, materialise, shared_dir
 
 #: Tokens of a record, slots of a shard, and the two token values that UTF-8 never has. Of wider tokens, END and PAD are
 #: the two largest, as END or PAD before bytes of 0xFF.
@@ -35,6 +35,8 @@ ROUNDS = 4
 ID_BYTES, ID_STRIDE = 2, 512
 #: Bytes of tokens that a partition of whole shards should hold, and that an Arrow batch may grow to.
 PARTITION_BYTES, BATCH_BYTES = 128 << 20, 4 << 20
+#: The longest piece that a worker remembers the ids of, and how many; texts where a space meets other white space go whole.
+CHUNK, REMEMBERED, SPACED = 32, 1 << 17, re.compile(r" \s| $")
 INDEX = ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens")
 
 
@@ -61,14 +63,6 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def slot_of(index: Column, n: int, key: int) -> Column:
-    @F.pandas_udf("bigint")
-    def f(i: pd.Series) -> pd.Series:
-        return pd.Series(feistel(i.to_numpy(np.int64), n, key))
-
-    return f(index)
-
-
 def packed_bytes(ids: list[int] | np.ndarray, width: int) -> bytes:
     """ids as little-endian numbers of width bytes; refuses those that would be END, PAD or cut off."""
     a = np.asarray(ids, np.int64)
@@ -77,65 +71,78 @@ def packed_bytes(ids: list[int] | np.ndarray, width: int) -> bytes:
     return a.astype(f"<u{width}").tobytes()
 
 
-def _cut(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes]], stride: int, width: int) -> DataFrame:
-    """Rows (doc_id, seq, part, inner, n_tokens, tokens): each document's packed tokens and END, cut; inner counts those of the task part.
+def _by_split(docs: DataFrame, column: Column) -> DataFrame:
+    """Rows (doc_id, split, tokens) of a table read from files; split names the file split, which one task reads in file order."""
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.input_file_block_length())
+    first = docs.select(F.input_file_name().alias("file")).first()
+    if first is not None and not first["file"]:
+        docs, column = materialise(docs.select("doc_id", column.alias("tokens"))), F.col("tokens")
+    return docs.select("doc_id", split.alias("split"), column.alias("tokens"))
 
-    Tokens are compressed: they are written once and shuffled once, which costs far more than to compress them.
-    """
+
+def _offsets(rows: DataFrame, pack: Callable[[list], list[bytes]], stride: int, width: int) -> DataFrame:
+    """Written rows (split, n, bytes, offset) of rows of _by_split(): the sequences of each split and of those before it."""
+
+    def count(batches):
+        for b in batches:
+            sizes = np.array([len(x) for x in pack(b.column(2).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes // (stride * width) + 1), pa.array(sizes)], names=["split", "n", "bytes"])
+
+    counts = rows.mapInArrow(count, "split bigint, n bigint, bytes bigint").groupBy("split").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a split, so one for 128 MB or so of the table.
+    return materialise(counts.select("split", "n", "bytes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+
+
+CHANGED = "the input's file splits have changed between the passes"
+
+
+def _in_order(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes]], key: int, stride: int, shard_slots: int, width: int) -> DataFrame:
+    """records(), but with compressed tokens in place of the record: compressing costs less than shuffling more."""
+    rows = _by_split(docs, column)
+    offsets = _offsets(rows, pack, stride, width)
+    total, held = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     kind = dict(docs.dtypes)["doc_id"]
-    fields = docs.sparkSession.createDataFrame([], f"doc_id {kind}, seq int, part int, inner bigint, n_tokens int, tokens binary").schema
+    fields = docs.sparkSession.createDataFrame([], f"slot bigint, doc_id {kind}, seq int, n_tokens int, tokens binary").schema
     end, size = bytes([END]) + b"\xff" * (width - 1), stride * width
 
-    def run(batches):
+    def cut(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, part, inner = to_arrow_schema(fields), TaskContext.get().partitionId(), 0
+        schema, at_of = to_arrow_schema(fields), {}
         squeeze = zstandard.ZstdCompressor(level=1, write_checksum=False).compress
 
-        def batch(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        def batch(index, rows):
+            cols = [feistel(np.array(index, np.int64), total, key), *zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for b in batches:
-            rows, held = [], 0
-            for doc_id, raw in zip(b.column(0).to_pylist(), pack(b.column(1).to_pylist()), strict=True):
-                whole = raw + end
+            index, rows, held = [], [], 0
+            packed = pack(b.column("tokens").to_pylist())
+            for doc_id, split, offset, raw in zip(b.column("doc_id").to_pylist(), b.column("split").to_pylist(), b.column("offset").to_pylist(), packed, strict=True):
+                if offset is None:
+                    raise ValueError(CHANGED)
+                whole, i = raw + end, at_of.get(split, offset)
                 for seq, at in enumerate(range(0, len(whole), size)):
                     tokens = whole[at : at + size]
-                    rows.append((doc_id, seq, part, inner, len(tokens) // width, squeeze(tokens)))
-                    inner, held = inner + 1, held + size
+                    index.append(i + seq)
+                    rows.append((doc_id, seq, len(tokens) // width, squeeze(tokens)))
+                    held += len(tokens)
                     if held >= BATCH_BYTES:
-                        yield batch(rows)
-                        rows, held = [], 0
+                        yield batch(index, rows)
+                        index, rows, held = [], [], 0
+                at_of[split] = i + len(whole[::size])
             if rows:
-                yield batch(rows)
-
-    return docs.select("doc_id", column.alias("tokens")).mapInArrow(run, fields)
-
+                yield batch(index, rows)
 
-def _in_order(cut: DataFrame, key: int, stride: int, shard_slots: int, width: int) -> DataFrame:
-    """records() of the written rows of _cut(), but with compressed tokens in place of the record."""
-    per_task = cut.groupBy("part").agg((F.max("inner") + 1).alias("n"), F.sum("n_tokens").alias("n_tokens"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a task, however large the table is.
-    offsets = materialise(per_task.select("part", "n", "n_tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    total, held = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_tokens") * width, F.lit(0))).first()
+    out = rows.join(few(offsets.select("split", "offset")), "split", "left").select("doc_id", "split", "offset", "tokens").mapInArrow(cut, fields)
     shards = max(1, -(-total // shard_slots))
-    least = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = min(shards, max(least, -(-held // PARTITION_BYTES)))
-    out = cut.join(F.broadcast(offsets.select("part", "offset")), "part")
-    out = out.select("doc_id", "seq", slot_of(F.col("offset") + F.col("inner"), total, key).alias("slot"), "n_tokens", "tokens")
     shard = F.floor(F.col("slot") / shard_slots)
     # A partition holds a run of whole shards.
     out = out.repartitionById(parts, F.floor(shard * parts / shards).cast("int")).sortWithinPartitions("slot")
-    return out.select(
-        "slot",
-        shard.alias("shard"),
-        (F.col("slot") % shard_slots * (stride * width)).alias("byte_offset"),
-        "doc_id",
-        "seq",
-        "n_tokens",
-        "tokens",
-    )
+    return out.select("slot", shard.alias("shard"), (F.col("slot") % shard_slots * size).alias("byte_offset"), "doc_id", "seq", "n_tokens", "tokens")
 
 
 def _whole(column: pa.Array, size: int) -> list[bytes]:
@@ -160,7 +167,7 @@ def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots
         column, pack = F.col(tokens), _as_they_are
     else:
         column, pack = F.col(tokens), lambda lists: [packed_bytes(x or [], width) for x in lists]
-    recs = _in_order(materialise(_cut(docs, column, pack, stride, width)), key, stride, shard_slots, width)
+    recs = _in_order(docs, column, pack, key, stride, shard_slots, width)
     target = recs.select(*INDEX, F.col("tokens").alias("record")).schema
 
     def fill(batches):
@@ -174,26 +181,51 @@ def _as_they_are(raw: list[bytes | None]) -> list[bytes]:
     return [x or b"" for x in raw]
 
 
-_ENCODERS: dict[str, object] = {}
+class _Chunks(dict):
+    """The packed ids of short pieces of text. A space between two others always begins a piece of the split pattern."""
+
+    def __init__(self, encoding):
+        super().__init__()
+        if encoding.n_vocab > 256**ID_BYTES - 2:
+            raise ValueError("the vocabulary needs wider ids")
+        self.encoding = encoding
+
+    def ids(self, text: str) -> bytes:
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.ids(chunk)
+        if len(chunk) <= CHUNK:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[chunk] = out
+        return out
+
+    def pack(self, text: str) -> bytes:
+        if SPACED.search(text):
+            return self.ids(text)
+        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0"))) if "\0" not in text else self.ids(text)
+
+
+_CHUNKS: dict[str, _Chunks] = {}
 
 
 def text_packer(ranks_path: str, pattern: str, send=None) -> Callable[[list], list[bytes]]:
     """Packs texts (null: empty) as two-byte ids of the byte-level BPE of a ranks file, by the tiktoken library.
 
-    send: a broadcast of the file's bytes, so that executors need no copy of the file.
+    send: a broadcast of the file's bytes, so that executors need no copy of the file. The pattern must split before a
+    single space, as byte-level vocabularies' do.
     """
 
     def pack(texts):
         import tiktoken
 
-        if ranks_path not in _ENCODERS:
+        if ranks_path not in _CHUNKS:
             data = send.value if send is not None else open(ranks_path, "rb").read()
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-            _ENCODERS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        e = _ENCODERS[ranks_path]
-        if e.n_vocab > 256**ID_BYTES - 2:
-            raise ValueError("the vocabulary needs wider ids")
-        return [e.encode_to_numpy(t, disallowed_special=()).astype("<u2").tobytes() if t else b"" for t in texts]
+            _CHUNKS[ranks_path] = _Chunks(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
+        known = _CHUNKS[ranks_path]
+        return [known.pack(t) if t else b"" for t in texts]
 
     return pack
 
@@ -295,16 +327,20 @@ def default_ranks() -> tuple[str, str]:
     """The ranks file and the split pattern of the byte-level vocabulary among the installed public tokenizers."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def shards(docs: DataFrame, ranks_path: str, pattern: str, key: int = 20_26) -> DataFrame:
     """records() of the vocabulary's ids, by way of shard files in the shared folder, which stay for readers."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tessera/shards-{uuid.uuid4().hex}"
     with open(ranks_path, "rb") as f:
-        send = spark.sparkContext.broadcast(f.read())
-    cut = materialise(_cut(docs, F.col("text"), text_packer(ranks_path, pattern, send), ID_STRIDE, ID_BYTES))
-    index = write(_in_order(cut, key, ID_STRIDE, SHARD_SLOTS, ID_BYTES), path, ID_STRIDE, width=ID_BYTES)
-    discard(cut)
+        pack = text_packer(ranks_path, pattern, spark.sparkContext.broadcast(f.read()))
+    for left in (2, 1, 0):
+        path = f"{shared_dir(spark)}/tessera/shards-{uuid.uuid4().hex}"
+        try:
+            index = write(_in_order(docs, F.col("text"), pack, key, ID_STRIDE, SHARD_SLOTS, ID_BYTES), path, ID_STRIDE, width=ID_BYTES)
+            break
+        except PySparkException as e:  # a small input is split by the number of cores, which a lost executor changes
+            if not left or CHANGED not in str(e):
+                raise
     return read(index, path, ID_STRIDE, width=ID_BYTES)

@@ -1,5 +1,6 @@
 """Shard files of token ids: every id comes back, and a reader resumes at any slot."""
 
+import base64
 from collections import defaultdict
 
 import numpy as np
@@ -63,13 +64,28 @@ def test_slots_by_whole_numbers():
         assert token_shards.feistel(np.arange(n), n, 2026).tolist() == [brute_slot(i, n, 2026) for i in range(n)]
 
 
-def test_query_has_the_tokenizers_ids(spark):
-    from tokenizers import Tokenizer
+def encoder(name):
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(name), "rb"))}
+    return tiktoken.Encoding("whole", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_pieces_join_to_the_whole():
     import public_tokenizers
 
-    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
-    want = {r.doc_id: lib.encode(r.text or "", add_special_tokens=False).ids for r in table(spark, SF, "documents").collect()}
+    name, rnd = "byte_bpe_50k.tiktoken", np.random.default_rng(3)
+    parts = ["a", "it's", " ", "\n", "\t", "  ", "12", "é", "日本", "!?", "\u00a0", "\x1c", "\0", "<|endoftext|>", "'ll", "\r\n", "x\n\n"]
+    texts = ["".join(rnd.choice(parts, rnd.integers(1, 30))) for _ in range(4000)]
+    whole, pack = encoder(name), token_shards.text_packer(public_tokenizers.path(name), public_tokenizers.PATTERN)
+    for t, raw in zip(texts, pack(texts), strict=True):
+        assert np.frombuffer(raw, "<u2").tolist() == whole.encode_ordinary(t), t
+
+
+def test_query_has_the_tokenizers_ids(spark):
+    whole = encoder("byte_bpe_multi_50k.tiktoken")
+    want = {r.doc_id: whole.encode_ordinary(r.text or "") for r in table(spark, SF, "documents").collect()}
     got, slots = defaultdict(dict), []
     for r in queries.op9_token_shards(spark, SF).collect():
         assert len(r.record) == 1024 and (r.shard, r.byte_offset) == (r.slot // 1024, r.slot % 1024 * 1024)
