@@ -1,19 +1,22 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
 Documents become sequences of a fixed number of tokens of a fixed width in bytes: ids of a tokenizer or UTF-8 bytes. A
-first pass over the input files counts the sequences of each file split, a row each, and prefix sums over the splits
-give every sequence its index; nothing but these counts is written. A keyed Feistel permutation with cycle-walking gives
-each index a slot, all slots of 0..n-1 being taken once. Slots are dense, so that a shard's partition is a division:
-tokens are shuffled once, unpadded and without sampling. A shard is a run of slots in one file of the shared folder; its
-records have one stride, so that a reader resumes at any slot by a multiplication. The order follows from the key and
-the input files.
+native pass over the input files counts the sequences of each file split, a row each, and prefix sums over the splits
+give every sequence its index. A keyed Feistel permutation with cycle-walking gives each index a place of its own, and
+range partitions of places, which are uniform and need no sampling, bring the records into training order: tokens are
+cut once and shuffled once, compressed and unpadded. A shard is a run of slots in one file of the shared folder; its
+records have one stride, so that a reader resumes at any slot by a multiplication.
+
+Where tokens are counted exactly, places are the slots 0..n-1. Ids of a text are not counted before they are made; its
+bytes bound their number, so the places then leave gaps, and a slot is a place's rank: its number in its range partition
+plus the partitions before it, which the writer counts. The order follows from the key and the input files.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 import json
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,8 +38,6 @@ ROUNDS = 4
 ID_BYTES, ID_STRIDE = 2, 512
 #: Bytes of tokens that a partition of whole shards should hold, and that an Arrow batch may grow to.
 PARTITION_BYTES, BATCH_BYTES = 128 << 20, 4 << 20
-#: The longest piece that a worker remembers the ids of, and how many; texts where a space meets other white space go whole.
-CHUNK, REMEMBERED, SPACED = 32, 1 << 17, re.compile(r" \s| $")
 INDEX = ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens")
 
 
@@ -80,30 +81,27 @@ def _by_split(docs: DataFrame, column: Column) -> DataFrame:
     return docs.select("doc_id", split.alias("split"), column.alias("tokens"))
 
 
-def _offsets(rows: DataFrame, pack: Callable[[list], list[bytes]], stride: int, width: int) -> DataFrame:
-    """Written rows (split, n, bytes, offset) of rows of _by_split(): the sequences of each split and of those before it."""
-
-    def count(batches):
-        for b in batches:
-            sizes = np.array([len(x) for x in pack(b.column(2).to_pylist())], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(sizes // (stride * width) + 1), pa.array(sizes)], names=["split", "n", "bytes"])
-
-    counts = rows.mapInArrow(count, "split bigint, n bigint, bytes bigint").groupBy("split").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+def _offsets(rows: DataFrame, size: Column, stride: int) -> DataFrame:
+    """Written rows (split, n, tokens, offset): the sequences of each split, given its rows' tokens, and of those before it."""
+    counts = rows.select("split", size.alias("size")).groupBy("split").agg(F.sum(F.floor(F.col("size") / stride) + 1).alias("n"), F.sum("size").alias("tokens"))
     before = Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     # One row a split, so one for 128 MB or so of the table.
-    return materialise(counts.select("split", "n", "bytes", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    return materialise(counts.select("split", "n", "tokens", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
 
 
 CHANGED = "the input's file splits have changed between the passes"
 
 
-def _in_order(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes]], key: int, stride: int, shard_slots: int, width: int) -> DataFrame:
-    """records(), but with compressed tokens in place of the record: compressing costs less than shuffling more."""
+def _in_order(docs: DataFrame, column: Column, size_of: Column, pack: Callable[[list], list[bytes]], key: int, stride: int, shard_slots: int, width: int) -> DataFrame:
+    """Rows (part, place, doc_id, seq, n_tokens, tokens) by place, with partition `part` of whole shards of places.
+
+    size_of: the tokens of a row, or a bound. Tokens are compressed, which costs less than shuffling more.
+    """
     rows = _by_split(docs, column)
-    offsets = _offsets(rows, pack, stride, width)
-    total, held = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    offsets = _offsets(rows, size_of, stride)
+    total, held = offsets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("tokens") * width, F.lit(0))).first()
     kind = dict(docs.dtypes)["doc_id"]
-    fields = docs.sparkSession.createDataFrame([], f"slot bigint, doc_id {kind}, seq int, n_tokens int, tokens binary").schema
+    fields = docs.sparkSession.createDataFrame([], f"place bigint, doc_id {kind}, seq int, n_tokens int, tokens binary").schema
     end, size = bytes([END]) + b"\xff" * (width - 1), stride * width
 
     def cut(batches):
@@ -139,10 +137,8 @@ def _in_order(docs: DataFrame, column: Column, pack: Callable[[list], list[bytes
     shards = max(1, -(-total // shard_slots))
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = min(shards, max(least, -(-held // PARTITION_BYTES)))
-    shard = F.floor(F.col("slot") / shard_slots)
-    # A partition holds a run of whole shards.
-    out = out.repartitionById(parts, F.floor(shard * parts / shards).cast("int")).sortWithinPartitions("slot")
-    return out.select("slot", shard.alias("shard"), (F.col("slot") % shard_slots * size).alias("byte_offset"), "doc_id", "seq", "n_tokens", "tokens")
+    part = F.floor(F.floor(F.col("place") / shard_slots) * parts / shards).cast("int")
+    return out.select(part.alias("part"), "*").repartitionById(parts, F.col("part")).sortWithinPartitions("place")
 
 
 def _whole(column: pa.Array, size: int) -> list[bytes]:
@@ -167,7 +163,11 @@ def records(docs: DataFrame, key: int = 20_26, stride: int = STRIDE, shard_slots
         column, pack = F.col(tokens), _as_they_are
     else:
         column, pack = F.col(tokens), lambda lists: [packed_bytes(x or [], width) for x in lists]
-    recs = _in_order(docs, column, pack, key, stride, shard_slots, width)
+    n = F.col("tokens")
+    n = F.size(n) if tokens and dict(docs.dtypes)[tokens] != "binary" else F.floor(F.octet_length(n) / width)
+    recs = _in_order(docs, column, F.greatest(F.coalesce(n, F.lit(0)), F.lit(0)), pack, key, stride, shard_slots, width)
+    shard, offset = F.floor(F.col("place") / shard_slots), F.col("place") % shard_slots * (stride * width)
+    recs = recs.select(F.col("place").alias("slot"), shard.alias("shard"), offset.alias("byte_offset"), "doc_id", "seq", "n_tokens", "tokens")
     target = recs.select(*INDEX, F.col("tokens").alias("record")).schema
 
     def fill(batches):
@@ -181,100 +181,89 @@ def _as_they_are(raw: list[bytes | None]) -> list[bytes]:
     return [x or b"" for x in raw]
 
 
-class _Chunks(dict):
-    """The packed ids of short pieces of text. A space between two others always begins a piece of the split pattern."""
-
-    def __init__(self, encoding):
-        super().__init__()
-        if encoding.n_vocab > 256**ID_BYTES - 2:
-            raise ValueError("the vocabulary needs wider ids")
-        self.encoding = encoding
-
-    def ids(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u2").tobytes()
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.ids(chunk)
-        if len(chunk) <= CHUNK:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = out
-        return out
-
-    def pack(self, text: str) -> bytes:
-        if SPACED.search(text):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0"))) if "\0" not in text else self.ids(text)
-
-
-_CHUNKS: dict[str, _Chunks] = {}
+_ENCODERS: dict[str, object] = {}
 
 
 def text_packer(ranks_path: str, pattern: str, send=None) -> Callable[[list], list[bytes]]:
     """Packs texts (null: empty) as two-byte ids of the byte-level BPE of a ranks file, by the tiktoken library.
 
-    send: a broadcast of the file's bytes, so that executors need no copy of the file. The pattern must split before a
-    single space, as byte-level vocabularies' do.
+    send: a broadcast of the file's bytes, so that executors need no copy of the file.
     """
 
     def pack(texts):
         import tiktoken
 
-        if ranks_path not in _CHUNKS:
+        if ranks_path not in _ENCODERS:
             data = send.value if send is not None else open(ranks_path, "rb").read()
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
-            _CHUNKS[ranks_path] = _Chunks(tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}))
-        known = _CHUNKS[ranks_path]
-        return [known.pack(t) if t else b"" for t in texts]
+            if max(ranks.values()) >= 256**ID_BYTES - 2:
+                raise ValueError("the vocabulary needs wider ids")
+            _ENCODERS[ranks_path] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        encode = _ENCODERS[ranks_path].encode_ordinary
+        return [array.array("H", encode(t)).tobytes() if t else b"" for t in texts]
 
     return pack
 
 
-def shard_file(folder: str, shard: int) -> str:
-    return f"{folder}/shard-{shard:08d}.bin"
+def shard_file(folder: str, run: int, number: int) -> str:
+    """Shards are numbered within a run of slots; dense places are one run, 0."""
+    return f"{folder}/shard-{run:05d}-{number:08d}.bin"
 
 
 def write(recs: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, width: int = 1) -> DataFrame:
     """One file a shard of records() in the folder path (a URI), then manifest.json; the index, rows of INDEX, written.
 
-    In place of the record, recs may have the compressed `tokens` of _in_order().
-
-    A file gets its name when it is whole, so that a task that runs again replaces it.
+    In place of records(), recs may be rows of _in_order(), whose partitions are runs that number their own records. A
+    file gets its name when it is whole, so that a task that runs again replaces it.
     """
     fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1])
+    dense, size = "record" in recs.columns, stride * width
+    kind = dict(recs.dtypes)["doc_id"]
 
     def run(batches):
         store, folder = fs.FileSystem.from_uri(path)
-        now, want, out, part = -1, 0, None, ""
+        now, at, out, part = None, 0, None, ""
 
         def close():
             if out is not None:
                 out.close()
-                store.move(part, shard_file(folder, now))
+                store.move(part, shard_file(folder, now, (at - 1) // shard_slots))
 
         for b in batches:
-            held = _whole(b.column("tokens"), stride * width) if "tokens" in b.schema.names else b.column("record").to_pylist()
-            for slot, record in zip(b.column("slot").to_pylist(), held, strict=True):
-                if slot // shard_slots != now:
+            runs = [0] * b.num_rows if dense else b.column("part").to_pylist()
+            slots = b.column("slot").to_pylist() if dense else [None] * b.num_rows
+            held, places = b.column("record").to_pylist() if dense else _whole(b.column("tokens"), size), []
+            for of, slot, record in zip(runs, slots, held, strict=True):
+                if of != now or at % shard_slots == 0:
+                    close()
+                    at = at if of == now else (slot or 0) if dense else 0
+                    now, part = of, f"{folder}/_{uuid.uuid4().hex}"
+                    out = store.open_output_stream(part)
+                if slot is not None and slot % shard_slots == 0 and slot != at:
                     close()
-                    now, want = slot // shard_slots, slot // shard_slots * shard_slots
-                    part = f"{folder}/_{uuid.uuid4().hex}"
+                    at, part = slot, f"{folder}/_{uuid.uuid4().hex}"
                     out = store.open_output_stream(part)
-                if slot != want or len(record) != stride * width:
-                    raise ValueError(f"slot {slot} of {len(record)} bytes where {want} of {stride * width} is due")
+                if len(record) != size or (slot is not None and slot != at):
+                    raise ValueError(f"slot {slot} of {len(record)} bytes where {at} of {size} is due")
                 out.write(record)
-                want += 1
-            yield b.select(list(INDEX))
+                places.append(at)
+                at += 1
+            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), pa.array(places, pa.int64()), *(b.column(c) for c in INDEX[3:])], names=["run", "at", *INDEX[3:]])
         close()
 
-    index = materialise(recs.mapInArrow(run, recs.select(*INDEX).schema))
-    n, last = index.agg(F.count("*"), F.max("slot")).first()
-    if n != (-1 if last is None else last) + 1:
-        raise ValueError(f"{n} records up to slot {last}")
+    index = materialise(recs.mapInArrow(run, f"run int, at bigint, doc_id {kind}, seq int, n_tokens int"))
+    # As many rows as there are partitions.
+    runs = {r["run"]: (r["n"], r["last"]) for r in index.groupBy("run").agg(F.count("*").alias("n"), F.max("at").alias("last")).collect()}
+    if any(n != last + 1 for n, last in runs.values()):
+        raise ValueError("slots are missing")
+    counts = [runs.get(i, (0, 0))[0] for i in range(max(runs, default=-1) + 1)]
     store, folder = fs.FileSystem.from_uri(path)
     with store.open_output_stream(f"{folder}/manifest.json") as f:
-        f.write(json.dumps({"slots": n, "stride": stride, "shard_slots": shard_slots, "width": width}).encode())
-    return index
+        f.write(json.dumps({"runs": counts, "stride": stride, "shard_slots": shard_slots, "width": width}).encode())
+    before = index.sparkSession.createDataFrame([(i, sum(counts[:i]), sum(-(-c // shard_slots) for c in counts[:i])) for i in range(len(counts))], "run int, slots bigint, shards bigint")
+    shard, offset = F.floor(F.col("at") / shard_slots), F.col("at") % shard_slots * size
+    placed = index.join(F.broadcast(before), "run")
+    return placed.select((F.col("slots") + F.col("at")).alias("slot"), (F.col("shards") + shard).alias("shard"), offset.alias("byte_offset"), *INDEX[3:], "run", shard.alias("number"))
 
 
 def resume(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
@@ -282,39 +271,42 @@ def resume(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     store, folder = fs.FileSystem.from_uri(path)
     with store.open_input_stream(f"{folder}/manifest.json") as f:
         m = json.loads(f.read())
-    size, per, n = m["stride"] * m["width"], m["shard_slots"], m["slots"]
-    while slot < n:
-        with store.open_input_file(shard_file(folder, slot // per)) as f:
-            f.seek(slot % per * size)
-            for at in range(slot, min(n, (slot // per + 1) * per)):
-                record = f.read(size)
-                if len(record) != size:
-                    raise ValueError(f"slot {at} is cut short")
-                v = np.frombuffer(record, f"<u{m['width']}")
-                yield at, v[v != 256 ** m["width"] - 1]
-                slot = at + 1
+    size, per, start = m["stride"] * m["width"], m["shard_slots"], 0
+    for run, n in enumerate(m["runs"]):
+        while slot < start + n:
+            number = (slot - start) // per
+            with store.open_input_file(shard_file(folder, run, number)) as f:
+                f.seek((slot - start) % per * size)
+                for at in range(slot, start + min(n, (number + 1) * per)):
+                    record = f.read(size)
+                    if len(record) != size:
+                        raise ValueError(f"slot {at} is cut short")
+                    v = np.frombuffer(record, f"<u{m['width']}")
+                    yield at, v[v != 256 ** m["width"] - 1]
+                    slot = at + 1
+        start += n
 
 
 def read(index: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, width: int = 1) -> DataFrame:
-    """The rows of records() from write()'s index and files, in slot order."""
-    schema = f"{', '.join(f'{c} {t}' for c, t in index.dtypes)}, record binary"
+    """Rows of INDEX and `record`, those of records() in the dense case, from write()'s index and files, in slot order."""
+    schema = f"{', '.join(f'{c} {t}' for c, t in index.select(*INDEX).dtypes)}, record binary"
     target = index.sparkSession.createDataFrame([], schema).schema
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         store, folder = fs.FileSystem.from_uri(path)
-        now, f = -1, None
+        now, f = None, None
         for b in batches:
             got = []
-            for shard, at in zip(b.column("shard").to_pylist(), b.column("byte_offset").to_pylist(), strict=True):
+            for at, *shard in zip(*(b.column(c).to_pylist() for c in ("byte_offset", "run", "number")), strict=True):
                 if shard != now:
                     if f is not None:
                         f.close()
-                    now, f = shard, store.open_input_file(shard_file(folder, shard))
+                    now, f = shard, store.open_input_file(shard_file(folder, *shard))
                 f.seek(at)
                 got.append(f.read(stride * width))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], schema=to_arrow_schema(target))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in INDEX), pa.array(got, pa.binary())], schema=to_arrow_schema(target))
         if f is not None:
             f.close()
 
@@ -338,7 +330,9 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, key: int = 20_26) ->
     for left in (2, 1, 0):
         path = f"{shared_dir(spark)}/tessera/shards-{uuid.uuid4().hex}"
         try:
-            index = write(_in_order(docs, F.col("text"), pack, key, ID_STRIDE, SHARD_SLOTS, ID_BYTES), path, ID_STRIDE, width=ID_BYTES)
+            # A byte-level id is a byte or more.
+            recs = _in_order(docs, F.col("text"), F.coalesce(F.octet_length("tokens"), F.lit(0)), pack, key, ID_STRIDE, SHARD_SLOTS, ID_BYTES)
+            index = write(recs, path, ID_STRIDE, width=ID_BYTES)
             break
         except PySparkException as e:  # a small input is split by the number of cores, which a lost executor changes
             if not left or CHANGED not in str(e):

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import queries, token_shards
 from tessera.llm.common import reach_package, table
@@ -86,9 +87,11 @@ def test_pieces_join_to_the_whole():
 def test_query_has_the_tokenizers_ids(spark):
     whole = encoder("byte_bpe_multi_50k.tiktoken")
     want = {r.doc_id: whole.encode_ordinary(r.text or "") for r in table(spark, SF, "documents").collect()}
-    got, slots = defaultdict(dict), []
+    got, slots, before = defaultdict(dict), [], (-1, 0)
     for r in queries.op9_token_shards(spark, SF).collect():
-        assert len(r.record) == 1024 and (r.shard, r.byte_offset) == (r.slot // 1024, r.slot % 1024 * 1024)
+        assert len(r.record) == 1024 and r.byte_offset % 1024 == 0
+        assert (r.shard, r.byte_offset) == (before[0] + 1, 0) if before[1] == 1023 * 1024 or not r.byte_offset else (before[0], before[1] + 1024)
+        before = r.shard, r.byte_offset
         slots.append(r.slot)
         got[r.doc_id][r.seq] = np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens].tolist()
     assert slots == list(range(len(slots)))
@@ -105,3 +108,18 @@ def test_a_text_over_several_shards(spark, tmp_path):
     path = f"file://{tmp_path}/long"
     token_shards.write(token_shards.records(d.limit(0)), path)
     assert list(token_shards.resume(path)) == []
+
+
+def test_runs_resume(spark, tmp_path):
+    """Places with gaps, whose partitions number their own records: slots follow the places, and a reader resumes at any."""
+    docs = table(spark, SF, "documents")
+    pack = token_shards.text_packer(*token_shards.default_ranks())
+    recs = token_shards._in_order(docs, F.col("text"), F.octet_length("tokens"), pack, 7, 64, 16, 2).persist()
+    path = f"file://{tmp_path}/runs"
+    index = token_shards.write(recs, path, 64, 16, 2)
+    order = [(r.doc_id, r.seq) for r in recs.orderBy("place").collect()]
+    got = token_shards.read(index, path, 64, 16, 2).collect()
+    assert [(r.doc_id, r.seq) for r in got] == order and [r.slot for r in got] == list(range(len(order)))
+    assert index.select("run").distinct().count() > 1
+    for slot in (0, 15, 16, len(order) // 2, len(order) - 1):
+        assert [(s, v.tolist()) for s, v in token_shards.resume(path, slot)] == [(r.slot, np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens].tolist()) for r in got[slot:]]
