@@ -8,12 +8,16 @@ d(x, y) = 1 - |x & y| / |x | y| is a metric; x and y link when d <= TAU. The joi
    is set aside. Each map task posts a shingle once, so no reducer gets more of one shingle than there are tasks.
 3. Regions. The survivors' shingles are ordered by (frequency of the frequent, hash); the members of a region share a shingle
    among the first n - ceil(.8 n) + 1 of each, and every linked pair meets in a region. Equal regions are joined once.
-4. Recursion. A region elects pivots and gets the exact distance of each member to each. Members nearer to one pivot
-   than to all others by more than 2 TAU are the interior of its Voronoi cell; the interiors of two cells have no link
-   (triangle inequality). A cell goes on with its interior and those boundary members that lie within TAU of it in
-   distance to the pivot; the boundary members go on among themselves. Pivots leave, as do members all of whose
-   possible partners link to the same pivot, being connected by it. Regions of one component so far are settled; small
-   regions compare their pairs of different components.
+4. Clusters. Regions that share members are one cluster, so a node is in one cluster only and its set travels once.
+5. Recursion, in a cluster of bounded size within a task. A region elects pivots and gets the exact distance of each
+   member to each. Members nearer to one pivot than to all others by more than 2 TAU are the interior of its Voronoi
+   cell; the interiors of two cells have no link (triangle inequality). A cell goes on with its interior and those
+   boundary members that lie within TAU of it in distance to the pivot; the boundary members go on among themselves.
+   Pivots leave, as do members all of whose possible partners link to the same pivot, being connected by it. What pivots
+   no longer divide compares the pairs whose distances to every pivot differ by TAU at most. Regions of one component so
+   far are settled.
+6. A cluster too large for a task goes the same way in rounds of jobs, region by region, while a round makes the largest
+   regions clearly smaller; regions beyond that, and small ones, compare blocks of pairs of different components.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ FILTER_ROWS = FILTER_BITS >> 3
 #: A shingle of this many survivors is frequent; so many frequent ones, the most frequent, come last, by frequency. Results
 #: don't depend on it, as any order common to all nodes will do.
 FREQUENT, MOST_FREQUENT = 4, 1 << 18
-PIVOTS, LEAF, DEPTH, BLOCK = 4, 256, 1, 256
-#: Pivots of a large region, the members of a small one, the rounds of pivots, and the members of a block of pairs.
+#: Pivots of a region, members and shingles of a cluster joined in one task, and the members of a block of pairs.
+PIVOTS, LEAF, LEAF_SHINGLES, BLOCK = 4, 256, 1 << 22, 256
+#: A region that a round of jobs has not brought below this share of the largest one is not divided further by pivots.
+SHRINK = 0.75
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -316,12 +322,132 @@ def _near(members: DataFrame) -> DataFrame:
     return d.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a bigint, b bigint")
 
 
+class Group:
+    """The sets of a cluster, joined by recursion over pivots; `of` gives each member's component so far."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.size = sets, np.array([len(x) for x in sets])
+        self.of = np.arange(len(sets))
+        self.rounds = 0
+
+    def distances(self, p: int, members: np.ndarray) -> np.ndarray:
+        """d(p, x) of each member x; those that link to p join its component."""
+        flat, size = np.concatenate([self.sets[i] for i in members]), self.size[members]
+        own = self.sets[p]
+        hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(size) - size)
+        union = size + len(own) - common
+        for c in np.unique(self.of[members[100 * common >= 80 * union]]).tolist():
+            if c != self.of[p]:
+                self.of[self.of == c] = self.of[p]
+        return 1 - common / union
+
+    def settled(self, members: np.ndarray) -> bool:
+        return len(members) < 2 or bool((self.of[members] == self.of[members[0]]).all())
+
+    def join(self, members: np.ndarray) -> None:
+        """Connect all members whose links connect them."""
+        todo = [members]
+        while todo:
+            members = todo.pop()
+            if self.settled(members):
+                continue
+            self.rounds += 1
+            pivots, d = [], np.empty((0, len(members)))
+            while len(pivots) < min(PIVOTS, len(members) - 1):
+                # The next pivot is the member farthest from those before it.
+                i = int(d.min(axis=0).argmax()) if pivots else 0
+                pivots.append(i)
+                d = np.vstack([d, self.distances(int(members[i]), members)])
+            rest = np.delete(np.arange(len(members)), pivots)
+            linked = d[:, rest] <= TAU + EPS
+            # The nearest member that does not link to a pivot: nothing nearer by more than TAU has a partner outside its links.
+            outer = np.where(linked, 9.0, d[:, rest]).min(axis=1, initial=9.0)
+            done = ((d[:, rest] <= TAU - EPS) & (outer[:, None] - TAU - EPS > d[:, rest])).any(axis=0)
+            rest = rest[~done]
+            if not len(rest):
+                continue
+            near = np.sort(d[:, rest], axis=0)
+            home = d[:, rest].argmin(axis=0)
+            inner = (near[1] - near[0] > 2 * TAU + EPS) if len(pivots) > 1 else np.ones(len(rest), bool)
+            parts = [rest[~inner]]
+            for k in range(len(pivots)):
+                own = rest[inner & (home == k)]
+                edge = rest[~inner]
+                if len(own):
+                    parts.append(np.concatenate([own, edge[d[k, edge] <= d[k, own].max() + TAU + EPS]]))
+            # A round costs what it costs to compare PIVOTS members with all; it has to take out as many besides the pivots.
+            if max(map(len, parts)) > len(members) - 2 * PIVOTS:
+                self.compare(members[rest], d[:, rest])
+            else:
+                todo += [members[x] for x in parts]
+
+    def compare(self, members: np.ndarray, d: np.ndarray) -> None:
+        """The pairs of different components within TAU of each other in distance to every pivot, and in size."""
+        n = self.size[members]
+        for i in range(len(members) - 1):
+            j = np.arange(i + 1, len(members))
+            ok = (self.of[members[j]] != self.of[members[i]]) & (5 * np.minimum(n[j], n[i]) >= 4 * np.maximum(n[j], n[i]))
+            j = j[ok]
+            j = j[(np.abs(d[:, j] - d[:, [i]]) <= TAU + EPS).all(axis=0)]
+            if len(j):
+                self.distances(int(members[i]), members[j])
+
+
+def _joined(grouped: DataFrame) -> DataFrame:
+    """Links (a, b), enough to connect each component, of rows (root, nid, arr): every root's sets as a Group."""
+
+    def run(batches):
+        now, ids, sets = None, [], []
+
+        def links():
+            g = Group(sets)
+            g.join(np.arange(len(sets)))
+            first, at = np.unique(g.of, return_index=True)
+            head = np.array(ids, np.int64)[at][np.searchsorted(first, g.of)]
+            own = np.array(ids, np.int64)
+            apart = own != head
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(own, head)[apart]), pa.array(np.maximum(own, head)[apart])], names=["a", "b"])
+
+        for b in batches:
+            for root, nid, arr in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if root != now:
+                    if sets:
+                        yield links()
+                    now, ids, sets = root, [], []
+                ids.append(nid)
+                sets.append(arr.values.to_numpy())
+        if sets:
+            yield links()
+
+    return grouped.select("root", "nid", "arr").repartition("root").sortWithinPartitions("root", "nid").mapInArrow(run, "a bigint, b bigint")
+
+
 def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of node ids that connect all that the full set of links connects."""
+    heads = regions.groupBy("r1", "r2").agg(F.min("nid").alias("b"))
+    star = materialise(regions.join(heads, ["r1", "r2"]).select(F.col("nid").alias("a"), "b").distinct())
+    cluster = materialise(components(star).withColumnRenamed("node", "nid"))
+    sizes = materialise(cluster.join(nodes.select("nid", "n"), "nid").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")))
+    small = (F.col("m") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)
+    cluster = materialise(cluster.join(sizes.select("root", small.alias("small")), "root"))
+    near = materialise(_joined(nodes.select("nid", "arr").join(few(cluster.where("small").select("nid", "root")), "nid")))
+    far = materialise(regions.join(cluster.where("not small").select("nid"), "nid", "left_semi"))
+    discard(star, sizes, cluster)
+    out = materialise(near.unionByName(_links_by_rounds(nodes, far)))
+    discard(near, far)
+    return out
+
+
+def _links_by_rounds(nodes: DataFrame, regions: DataFrame) -> DataFrame:
+    """links() of written regions, in rounds of jobs."""
+    if regions.isEmpty():
+        return nodes.sparkSession.createDataFrame([], "a bigint, b bigint")
     spark = nodes.sparkSession
     nodes = materialise(nodes.select("nid", "n", "arr", "sketch").join(few(materialise(regions.select("nid").distinct())), "nid", "left_semi"))
     sizes = nodes.select("nid", "n", "sketch")
     known = materialise(spark.createDataFrame([], "a bigint, b bigint, d double, linked boolean"))
+    most = float("inf")
     depth, region = 0, ["r1", "r2"]
     while not regions.isEmpty():
         # What is known to be connected needs no comparing: a region goes on only with members of several labels.
@@ -329,9 +455,10 @@ def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
         if depth:
             linked = labels(known.where("linked").select("a", "b")).withColumnRenamed("node", "nid")
             members = materialise(regions.join(linked, "nid", "left").select(*region, "nid", "e", F.coalesce("label", "nid").alias("comp")))
-        # A region is large while pivots may divide it; from DEPTH on, blocks do.
+        # A region is large while pivots divide it; after that, blocks do.
         size = members.groupBy(*region).agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-        size = materialise(size.select(*region, "m", (F.lit(depth < DEPTH) & (F.col("m") > LEAF)).alias("large")))
+        size = materialise(size.select(*region, "m", ((F.col("m") > LEAF) & (F.col("m") <= F.lit(most))).alias("large")))
+        most = SHRINK * (size.where("large").agg(F.max("m")).first()[0] or 0)
         members = members.join(size, region)
         large = members.where("large")
         seeds = [F.min(F.struct(F.xxhash64("nid", F.lit(10 + i)), "nid"))["nid"].alias(f"p{i}") for i in range(PIVOTS)]
@@ -392,16 +519,21 @@ def join(docs: DataFrame) -> DataFrame:
     discard(sets)
     nodes = materialise(_arrays(docs, alive))
     discard(alive)
-    found = links(nodes, _regions(nodes))
+    regions = _regions(nodes)
+    found = links(nodes, regions)
+    discard(regions)
     roots = materialise(components(found))
-    least = members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("own"))
+    least = materialise(members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("own"), F.count("*").alias("copies")))
     tied = nodes.select("sig", F.col("nid").alias("node")).join(roots, "node").join(least, "sig")
     of = tied.groupBy("root").agg(F.min("own").alias("component_id"))
     comps = tied.select("sig", "root").distinct().join(of, "root").select("sig", "component_id")
-    every = materialise(least.join(comps, "sig", "left").select("sig", F.coalesce("component_id", "own").alias("component_id")))
-    discard(nodes, found, roots)
-    out = members.join(every, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # Sets of one row and without links need no telling; the list is small against the documents.
+    told = least.join(comps, "sig", "left").where("copies > 1 or component_id is not null")
+    every = materialise(told.select("sig", F.coalesce("component_id", "own").alias("component_id"), F.lit(True).alias("told")))
+    discard(nodes, found, roots, least)
+    out = members.join(few(every), "sig", "left")
+    root = F.when(F.col("told"), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

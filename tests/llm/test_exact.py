@@ -100,6 +100,41 @@ def test_jaccard_join(spark, docs, rows):
     assert got == brute_components(texts)
 
 
+def test_jaccard_pivots_do_the_join(spark):
+    """On sf0.01 every link between clusters' members comes from rounds of pivots, and the groups are the brute-force ones."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    want = brute_components(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()} == want
+    by = defaultdict(list)
+    for k, t in texts.items():
+        if len(s := jaccard_join.shingles(t)):
+            by[want[k][1]].append(s)
+    groups = [jaccard_join.Group(v) for v in by.values() if len(v) > 1]
+    for g in groups:
+        g.join(np.arange(len(g.sets)))
+        assert g.rounds > 0 and len(set(g.of.tolist())) == 1
+    assert groups
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_jaccard_group(seed):
+    """Families about the threshold, strangers and bridges: the recursion against all pairs, with rounds that divide."""
+    rnd = random.Random(seed)
+    texts, n = {}, 0
+    for f in range(8):
+        base = [f"{f}b{i}" for i in range(120)]
+        for _ in range(rnd.choice((3, 12, 40))):
+            texts[n] = " ".join(edited(rnd, base, rnd.choice((0.0, 0.01, 0.03, 0.05, 0.2))))
+            n += 1
+    want = brute_components(texts)
+    g = jaccard_join.Group([jaccard_join.shingles(texts[i]) for i in range(n)])
+    g.join(np.arange(n))
+    first = {}
+    assert [first.setdefault(c, i) for i, c in enumerate(g.of.tolist())] == [want[i][1] for i in range(n)]
+    assert g.rounds > 1
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(500, 500 + i) for i in range(1, 50)]
