@@ -38,8 +38,10 @@ FILTER_ROWS = FILTER_BITS >> 3
 #: A shingle of this many survivors is frequent; so many frequent ones, the most frequent, come last, by frequency. Results
 #: don't depend on it, as any order common to all nodes will do.
 FREQUENT, MOST_FREQUENT = 4, 1 << 18
-#: Pivots of a region, members and shingles of a cluster joined in one task, and the members of a block of pairs.
-PIVOTS, LEAF, LEAF_SHINGLES, BLOCK = 4, 256, 1 << 22, 256
+#: Pivots of a region, and the members of a block of pairs. A cluster is joined in one task if its sets hold no more than
+#: TASK_SHINGLES and if comparing each with all takes no more than TASK_WORK steps, half a minute; larger ones go by rounds
+#: of jobs, in which regions of more than LEAF members elect pivots.
+PIVOTS, BLOCK, LEAF, TASK_SHINGLES, TASK_WORK = 4, 256, 256, 1 << 22, 1 << 30
 #: A region that a round of jobs has not brought below this share of the largest one is not divided further by pivots.
 SHRINK = 0.75
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -429,7 +431,7 @@ def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     star = materialise(regions.join(heads, ["r1", "r2"]).select(F.col("nid").alias("a"), "b").distinct())
     cluster = materialise(components(star).withColumnRenamed("node", "nid"))
     sizes = materialise(cluster.join(nodes.select("nid", "n"), "nid").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")))
-    small = (F.col("m") <= LEAF) & (F.col("shingles") <= LEAF_SHINGLES)
+    small = (F.col("shingles") <= TASK_SHINGLES) & (F.col("m") * F.col("shingles") <= TASK_WORK)
     cluster = materialise(cluster.join(sizes.select("root", small.alias("small")), "root"))
     near = materialise(_joined(nodes.select("nid", "arr").join(few(cluster.where("small").select("nid", "root")), "nid")))
     far = materialise(regions.join(cluster.where("not small").select("nid"), "nid", "left_semi"))

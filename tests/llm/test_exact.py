@@ -87,7 +87,10 @@ def edited(rnd, words, share):
     return [rnd.choice("abcdefgh") + str(rnd.random()) if rnd.random() < share else w for w in words]
 
 
-def test_jaccard_join(spark, docs, rows):
+@pytest.mark.parametrize("work", [jaccard_join.TASK_WORK, 1 << 16])
+def test_jaccard_join(spark, docs, rows, monkeypatch, work):
+    """With clusters joined in tasks, and with all but the smallest by rounds of jobs."""
+    monkeypatch.setattr(jaccard_join, "TASK_WORK", work)
     rnd = random.Random(5)
     texts = {r.doc_id: r.text for r in rows}
     base = [f"b{i}" for i in range(300)]
