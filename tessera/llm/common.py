@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -19,8 +16,8 @@ ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Folders of applications that name none.
-_OWN: dict[str, str] = {}
+#: Folders of written tables that are deleted at the end.
+_OWN: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,12 +38,24 @@ def reach_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none, as in tests."""
-    at, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
-    if not at and app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return at or f"file://{_OWN[app]}"
+    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tessera"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """The application's folder for written tables, deleted when the driver ends; results still read them until then."""
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if path not in _OWN:
+        at, store = _hadoop(spark, path)
+        store.mkdirs(at)
+        store.deleteOnExit(at)
+        _OWN.add(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -56,7 +65,7 @@ def materialise(df: DataFrame) -> DataFrame:
     passes see, and gives the planner a real size.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -66,9 +75,8 @@ def materialise(df: DataFrame) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for t in tables:
-        jvm = t.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._tessera_path)
-        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        at, store = _hadoop(t.sparkSession, t._tessera_path)
+        store.delete(at, True)
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterator[tuple] | list[tuple]], schema: str) -> DataFrame:

@@ -427,15 +427,15 @@ def _joined(grouped: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, regions: DataFrame) -> DataFrame:
     """Linked pairs (a, b) of node ids that connect all that the full set of links connects."""
-    heads = regions.groupBy("r1", "r2").agg(F.min("nid").alias("b"))
-    star = materialise(regions.join(heads, ["r1", "r2"]).select(F.col("nid").alias("a"), "b").distinct())
+    heads = materialise(regions.groupBy("r1", "r2").agg(F.min("nid").alias("b")))
+    star = materialise(regions.join(few(heads), ["r1", "r2"]).select(F.col("nid").alias("a"), "b").distinct())
     cluster = materialise(components(star).withColumnRenamed("node", "nid"))
     sizes = materialise(cluster.join(nodes.select("nid", "n"), "nid").groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")))
     small = (F.col("shingles") <= TASK_SHINGLES) & (F.col("m") * F.col("shingles") <= TASK_WORK)
     cluster = materialise(cluster.join(sizes.select("root", small.alias("small")), "root"))
     near = materialise(_joined(nodes.select("nid", "arr").join(few(cluster.where("small").select("nid", "root")), "nid")))
     far = materialise(regions.join(cluster.where("not small").select("nid"), "nid", "left_semi"))
-    discard(star, sizes, cluster)
+    discard(heads, star, sizes, cluster)
     out = materialise(near.unionByName(_links_by_rounds(nodes, far)))
     discard(near, far)
     return out

@@ -45,13 +45,15 @@ def _source(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
 
 
-def _key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def _key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Rows that share an id, or have none, are told apart by their texts."""
+    content = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), content).cast("binary"))
 
 
 def _taken(docs: DataFrame, weights: tuple[int, ...], share: float, cap: float, seed: str) -> DataFrame:
     d = materialise(
-        docs.select("doc_id", F.col("source").cast("string").alias("source"), _source(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), seed).alias("key"))
+        docs.select("doc_id", F.col("source").cast("string").alias("source"), _source(F.col("source")).alias("src"), word_count(F.col("text")).alias("size"), _key(F.col("doc_id"), F.col("text"), seed).alias("key"))
     )
     rows, ranges = d.count(), 1
     while ranges < MOST_RANGES and ranges * ROWS_PER_RANGE < rows:
@@ -76,8 +78,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     """Rows (doc_id, size, source_size, target, taken); needs doc_id, text, source; other columns are ignored.
 
     size: words of the text (null: 0). taken: words that the mix takes of the row, counting each epoch; the sum over
-    a source is its target rounded to the nearest word. Order is by md5(seed:doc_id), then doc_id, size; equal rows
-    are interchangeable. A null source is a source of its own; an empty table gives no rows.
+    a source is its target rounded to the nearest word. Order is by md5(seed:doc_id:md5(text)), then doc_id, size; equal
+    rows are interchangeable. A null source is a source of its own; an empty table gives no rows.
     """
     d = _taken(docs, weights, share, cap, seed)
     return d.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).alias("taken"))
@@ -86,13 +88,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
 def sample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of docs, all columns, as often as it is taken; the row at the cut if half of it is.
 
-    The text isn't shuffled: a source's cut is a place in its key order, one row a source, which the rows are held against.
+    Null ids, texts and sources take part; an empty table gives no rows. The text isn't shuffled: a source's cut is a place in its key order, one row a source, which the rows are held against.
     """
     place = F.struct("key", "doc_id", "size")
     d = _taken(docs, weights, share, cap, seed)
     last = F.max(F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), place)).alias("last")
     cuts = materialise(d.groupBy("src").agg(F.max("epochs").alias("epochs"), last))
-    here = F.struct(_key(F.col("doc_id"), seed).alias("key"), F.col("doc_id").alias("doc_id"), word_count(F.col("text")).alias("size"))
+    here = F.struct(_key(F.col("doc_id"), F.col("text"), seed).alias("key"), F.col("doc_id").alias("doc_id"), word_count(F.col("text")).alias("size"))
     rows = docs.select(F.struct("*").alias("row"), _source(F.col("source")).alias("src"), here.alias("here")).join(cuts, "src")
     times = F.col("epochs").cast("int") + F.when(F.col("here") <= F.col("last"), 1).otherwise(0)
     return rows.select("row", times.alias("times")).where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
@@ -102,7 +104,7 @@ def sample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float =
 MIX_SQL = """
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

@@ -1,20 +1,22 @@
 """Secret scans over a blob ledger.
 
 Every historical version of a path is content-addressed by the SHA-256 of its text. Only (blob, rule, rule version)
-triples that the ledger lacks are scanned, one representative row per blob, and the findings are joined back to all
-paths that hold the blob. Hashes travel, not texts: the text of a row is shuffled only to meet the list of unseen
-blobs, and not at all when that list is small enough to be broadcast (the planner checks its written size).
+triples that the ledger lacks are scanned, one representative row per blob, and the findings of the rules' current
+versions are joined back to all paths that hold the blob. Hashes travel, not texts: a text is shuffled only to meet the
+list of unseen blobs, and not at all when that list has no more than FEW_BLOBS rows, as it is broadcast then.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_rows, materialise
+from tessera.llm.common import _hadoop, discard, map_rows, materialise, shared_dir
 
 
 class Rule(NamedTuple):
@@ -36,6 +38,8 @@ RULES = (
 
 #: For rules whose matches all have a cheap mark: texts without it are not searched.
 MARKS = {"assign": re.compile("[:=]"), "access": re.compile("AKIA"), "hex": re.compile("[0-9a-f]{32}")}
+#: The most unseen blobs whose list, of some 100 bytes each, is sent to where the texts lie.
+FEW_BLOBS = 1 << 16
 LEDGER = "blob binary, rule string, version int"
 FINDINGS = f"{LEDGER}, starts array<int>, ends array<int>"
 
@@ -82,21 +86,58 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
                     at = spans_of(t, r)
                     yield b, r.kind, r.version, [s for s, _ in at], [e for _, e in at]
 
-    unseen = texts.join(todo.hint("shuffle_hash"), ["blob", "rid"]).select("blob", "text", "todo")
-    found = materialise(map_rows(unseen, find, FINDINGS))
+    meet = todo.hint("broadcast" if todo.count() <= FEW_BLOBS else "shuffle_hash")
+    found = materialise(map_rows(texts.join(meet, ["blob", "rid"]).select("blob", "text", "todo"), find, FINDINGS))
+    discard(todo)
     return found
 
 
+class Ledger:
+    """Findings of all versions scanned so far, a folder of one Parquet table a commit; a commit is there when it is whole."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/tessera/ledger-{uuid.uuid4().hex}"
+
+    def commits(self) -> list[str]:
+        at, store = _hadoop(self.spark, self.path)
+        if not store.exists(at):
+            return []
+        found = [str(f.getPath()) for f in store.listStatus(at) if f.getPath().getName().startswith("commit-")]
+        return sorted(p for p in found if store.exists(_hadoop(self.spark, f"{p}/_SUCCESS")[0]))
+
+    def findings(self) -> DataFrame:
+        paths = self.commits()
+        return self.spark.read.schema(FINDINGS).parquet(*paths) if paths else self.spark.createDataFrame([], FINDINGS)
+
+    def add(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> int:
+        """Scan what the ledger lacks of these versions, as a new commit; the number of triples scanned."""
+        new = scan(docs, self.findings() if self.commits() else None, rules)
+        new.write.parquet(f"{self.path}/commit-{len(self.commits()):06d}-{uuid.uuid4().hex}")
+        n = new.count()
+        discard(new)
+        return n
+
+
+def scan_history(versions: Iterable[DataFrame], ledger: Ledger, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The ledger's findings after adding versions in order: later ones scan only blobs that no earlier one held."""
+    for docs in versions:
+        ledger.add(docs, rules)
+    return ledger.findings()
+
+
 def join_paths(docs: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`row`, the `keep` columns of every row of docs, with `spans`, an array of (start, rank, kind, end) by start, then rule order.
 
-    A blob that many paths share is a hot key only of this join of two written tables, which AQE splits.
+    Only findings of the rules' own versions count, however many versions or repeats findings holds. A blob that many
+    paths share is a hot key only of this join of two written tables, which AQE splits.
     """
+    current = F.create_map(*(x for r in rules for x in (F.lit(r.kind), F.lit(r.version))))
+    findings = findings.where(current[F.col("rule")] == F.col("version"))
     rank = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))))
     one = F.arrays_zip("starts", "ends")
     listed = F.transform(one, lambda x: F.struct(x["starts"].alias("start"), rank[F.col("rule")].alias("rank"), F.col("rule").alias("kind"), x["ends"].alias("end")))
     hits = findings.where(F.size("starts") > 0).withColumn("spans", listed)
-    per_blob = materialise(hits.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans")))
+    per_blob = materialise(hits.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans")))
     whole = F.struct(*(F.col(c) for c in keep)).alias("row")
     return docs.select(whole, blob_of(F.col("text")).alias("blob")).join(per_blob, "blob", "left").drop("blob")
 
@@ -132,7 +173,11 @@ def _is(kind: str):
 
 
 def summary(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, findings by kind, the digest of the base spans and the listing of all spans."""
+    """Per row of docs: doc_id, findings by kind, the digest of the base spans and the listing of all spans.
+
+    A null or empty text, or one without secrets, has no spans: counts of 0 and the digest of the empty listing. Repeated
+    rows get equal rows, and an empty table gives none; further columns of docs are ignored, whatever their names.
+    """
     base = [r.kind for r in RULES]
     d = join_paths(docs, findings).withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")))
     counts = [F.size(F.filter("spans", _is(k))).cast("long").alias(f"n_{k}") for k in base]

@@ -59,6 +59,27 @@ def test_ledger_scans_only_what_is_new(spark, docs):
     assert {r.rule for r in secret_scan.scan(docs, ledger=whole, rules=newer).collect()} == {"hex"}
 
 
+def test_rule_bump_counts_once(spark):
+    """A ledger of two versions of a rule gives the current version's findings only, and bumps scan only that rule."""
+    docs = spark.createDataFrame([(1, "a" * 40 + " " + "b" * 20), (2, "a" * 40 + " " + "b" * 20), (3, None)], "doc_id bigint, text string")
+    ledger = secret_scan.Ledger(spark)
+    assert ledger.add(docs) == 6 and ledger.add(docs) == 0
+    newer = tuple(r._replace(version=2, least=20) if r.kind == "hex" else r for r in secret_scan.RULES)
+    assert ledger.add(docs, newer) == 2
+    found = ledger.findings()
+    old = {r.doc_id: r for r in secret_scan.summary(docs, found).collect()}
+    assert old[1].spans == "hex:0:40" and old[1].n_hex == 1 and old[3].spans == ""
+    now = {r.row.doc_id: [(s.kind, s.start, s.end) for s in r.spans or []] for r in secret_scan.join_paths(docs, found.unionByName(found), newer).collect()}
+    assert now == {1: [("hex", 0, 40), ("hex", 41, 61)], 2: [("hex", 0, 40), ("hex", 41, 61)], 3: []}
+
+
+def test_query_scans_a_history(spark, docs):
+    from tessera.llm import queries
+
+    whole = secret_scan.summary(docs, secret_scan.scan(docs))
+    assert sorted(map(tuple, queries.op1_secret_scan(spark, SF).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def brute_components(texts):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
