@@ -4,7 +4,8 @@ A turn shows a speaker marker, or none, and features of its lines. Emissions, st
 the conversations of the training folds. Decoding is exact Viterbi in blocks: the best path through a block of turns,
 for each state before it and each at its end, is a small matrix; matrices of a block's parts combine by (max, +), so a
 very long conversation becomes a tree of blocks, solved upwards and then, with the states at its ends known,
-downwards. Only feature codes are shuffled by conversation.
+downwards. Blocks are cut by a turn's place in its conversation, counted over a range sort of all turns, so that no
+numbering of turns, nor a lack of one, makes a block longer. Only feature codes are shuffled by conversation.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, materialise
+from tessera.llm.common import discard, fold, materialise
 
-#: Turns of a block, and blocks of the next block; the most roles told apart; the training folds.
-BLOCK, ROLES, FOLDS, HELD = 64, 16, 4, 2
+#: Turns of a block, and blocks of the next block; the most roles told apart, rarer ones being OTHER; the training folds.
+BLOCK, ROLES, OTHER, FOLDS, HELD = 64, 64, "other", 4, 2
 #: Speaker markers by the role they speak for.
 MARKERS = {"user": "user|human|q|question|prompter|customer|client|me", "assistant": "assistant|ai|bot|a|answer|agent|model|gpt", "system": "system|instruction|instructions|context|note"}
 HEAD = r"^\s*(?:#{1,4}\s*|<\|?|\[|\*{1,2}|>\s*)?(?i:(KINDS))(?:\|?>|\]|\*{1,2})?\s*(?::|-|\n|\]|\|?>)\s*"
@@ -42,7 +44,7 @@ def features(text: Column) -> list[Column]:
 
 
 def turns(talk: DataFrame) -> DataFrame:
-    """Rows (ck, turn, x, code, role, learn): one for each different (conversation, turn, text)."""
+    """Written rows (ck, pos, turn, x, code, role, learn): one for each different (conversation, turn, text), by place from 0."""
     text = F.coalesce("text", F.lit(""))
     code = F.lit(0)
     for size, f in zip(SIZES, features(text), strict=True):
@@ -50,7 +52,33 @@ def turns(talk: DataFrame) -> DataFrame:
     role = F.col("role") if "role" in talk.columns else F.lit(None).cast("string")
     learn = F.coalesce(fold(F.col("conv_id"), FOLDS) != HELD, F.lit(False))
     rows = talk.select(key(talk).alias("ck"), turn_of(talk).alias("turn"), F.xxhash64(text).alias("x"), code.cast("int").alias("code"), role.alias("role"), learn.alias("learn"))
-    return rows.groupBy("ck", "turn", "x").agg(F.min("code").alias("code"), F.min("role").alias("role"), F.first("learn").alias("learn"))
+    return _placed(rows.groupBy("ck", "turn", "x").agg(F.min("code").alias("code"), F.min("role").alias("role"), F.first("learn").alias("learn")))
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """rows with pos: the number of rows of the same ck before (turn, x); a conversation may lie across many partitions."""
+    order, kept = ["ck", "turn", "x"], [c for c in rows.columns if c != "pos"]
+    fields = rows.sparkSession.createDataFrame([], rows.select(kept).schema).select("*", F.lit(0).alias("part"), F.lit(0).cast("long").alias("i")).schema
+
+    def number(batches):
+        part, now, i = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            at = []
+            for ck in b.column("ck").to_pylist():
+                now, i = ck, i + 1 if ck == now else 0
+                at.append(i)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([part] * len(at), pa.int32()), pa.array(at, pa.int64())], names=[*b.schema.names, "part", "i"])
+
+    cut = materialise(rows.select(kept).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, fields))
+    # Only a partition's first and last conversation can go on elsewhere: two rows a partition.
+    ends = cut.groupBy("part").agg(F.min("ck").alias("a"), F.max("ck").alias("b"))
+    ends = ends.select(F.explode(F.array("a", "b")).alias("ck")).distinct()
+    parts = cut.select("ck", "part").join(F.broadcast(ends), "ck").groupBy("ck", "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("ck").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("ck", "part", F.sum("n").over(before).alias("offset")).where("offset is not null")
+    out = materialise(cut.join(F.broadcast(offsets), ["ck", "part"], "left").select("ck", (F.col("i") + F.coalesce("offset", F.lit(0))).alias("pos"), *kept[1:]))
+    discard(cut)
+    return out
 
 
 def key(talk: DataFrame) -> Column:
@@ -106,34 +134,28 @@ def _together(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 
 def fit(rows: DataFrame) -> Hmm | None:
-    """Counts over all training turns; moves between blocks of BLOCK turns are left out of the moves only."""
-    learn = rows.where("learn and role is not null")
-    roles = sorted(r["role"] for r in learn.groupBy("role").count().orderBy(F.desc("count"), "role").limit(ROLES).collect())
-    if not roles:
+    """Counts over all training turns with a role: first turns, moves between neighbouring ones, and features.
+
+    The ROLES - 1 most frequent roles, and of equal ones the first by name, are states; where there are more than ROLES,
+    the others share the state OTHER. Without training turns there is no model.
+    """
+    learn = rows.where("learn and role is not null").select("ck", "pos", "code", "role")
+    often = [r["role"] for r in learn.groupBy("role").count().orderBy(F.desc("count"), "role").limit(ROLES + 1).collect()]
+    if not often:
         return None
-    index = {r: i for i, r in enumerate(roles)}
-    k = len(roles)
-
-    def count(batches):
-        moves, seen = np.zeros((k + 1, k), np.int64), {}
-        for _, block, _, code, role in _runs(_batches(batches), 2):
-            last = k if block[0] == 0 else None
-            for c, r in zip(code, role, strict=True):
-                i = index.get(r)
-                if i is not None:
-                    if last is not None:
-                        moves[last, i] += 1
-                    seen[i, c] = seen.get((i, c), 0) + 1
-                last = i
-        out = [(0, a, b, int(moves[a, b])) for a, b in zip(*np.nonzero(moves), strict=True)] + [(1, i, c, n) for (i, c), n in seen.items()]
-        cols = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["kind", "a", "b", "n"])
-
-    blocks = _together(learn.select("ck", _block(F.col("turn")).alias("block"), "turn", "code", "role"), ["ck", "block"], ["turn", "code"])
-    got = blocks.mapInArrow(count, "kind bigint, a bigint, b bigint, n bigint").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
-    moves, seen = np.zeros((k + 1, k)), np.zeros((k, int(np.prod(SIZES))))
-    for r in got:
-        (moves if r["kind"] == 0 else seen)[r["a"], r["b"]] = r["n"]
+    roles = sorted(often if len(often) <= ROLES else {*often[: ROLES - 1], OTHER})
+    k, other = len(roles), roles.index(OTHER) if OTHER in roles else -1
+    number = F.create_map(*(x for i, r in enumerate(roles) for x in (F.lit(r), F.lit(i))))
+    learn = learn.select("ck", "pos", "code", F.coalesce(number[F.col("role")], F.lit(other)).alias("s"))
+    seen, moves = np.zeros((k, int(np.prod(SIZES)))), np.zeros((k + 1, k))
+    for r in learn.groupBy("s", "code").count().collect():
+        seen[r["s"], r["code"]] = r["count"]
+    for r in learn.where("pos = 0").groupBy("s").count().collect():
+        moves[k, r["s"]] = r["count"]
+    # Places are unique, so that no key of this join is hot, however long a conversation is.
+    before = learn.select("ck", (F.col("pos") + 1).alias("pos"), F.col("s").alias("t"))
+    for r in learn.join(before, ["ck", "pos"]).groupBy("t", "s").count().collect():
+        moves[r["t"], r["s"]] = r["count"]
     return Hmm(roles, moves, seen.reshape(k, *SIZES))
 
 
@@ -164,10 +186,10 @@ def _path(parts: list[np.ndarray], enter: int, leave: int) -> list[int]:
 
 
 def decode(rows: DataFrame, hmm: Hmm) -> DataFrame:
-    """Rows (ck, turn, x, role_pred): the most probable roles of each conversation as a whole."""
+    """Rows (ck, turn, x, role_pred) of rows of turns(): the most probable roles of each conversation as a whole."""
     k = len(hmm.roles)
     send = rows.sparkSession.sparkContext.broadcast(hmm)
-    now = rows.select("ck", _block(F.col("turn")).alias("block"), "turn", "x", "code")
+    now = rows.select("ck", _block(F.col("pos")).alias("block"), "pos", "turn", "x", "code")
     levels = [now]
 
     def up(matrix):
@@ -184,7 +206,7 @@ def decode(rows: DataFrame, hmm: Hmm) -> DataFrame:
     def own_matrix(m):
         return np.array(m).reshape(k + 1, k)
 
-    upper = materialise(_together(now, ["ck", "block"], ["turn", "x"]).mapInArrow(up(code_matrix), "ck string, part bigint, m array<double>"))
+    upper = materialise(_together(now, ["ck", "block"], ["pos"]).mapInArrow(up(code_matrix), "ck string, part bigint, m array<double>"))
     while True:
         levels.append(upper.select("ck", _block(F.col("part")).alias("block"), "part", "m"))
         if (upper.agg(F.max("part")).first()[0] or 0) == 0:
@@ -197,18 +219,22 @@ def decode(rows: DataFrame, hmm: Hmm) -> DataFrame:
         matrix = code_matrix if level == 0 else own_matrix
         width = len(rows_of.columns)
 
-        def down(batches, matrix=matrix, width=width):
+        kept = [("turn", pa.int64()), ("x", pa.int64())] if level == 0 else []
+
+        def down(batches, matrix=matrix, width=width, kept=kept):
             for cols in _runs(_batches(batches), 2):
-                at = _path([matrix(v) for v in cols[width - 1]], cols[width][0], cols[width + 1][0])
-                n = len(at)
-                before = [cols[width][0], *at[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[2], pa.int64()), pa.array(cols[3] if width == 5 else [0] * n, pa.int64()), pa.array(before, pa.int32()), pa.array(at, pa.int32())], names=["ck", "part", "x", "enter", "leave"])
+                enter, leave = cols[width][0], cols[width + 1][0]
+                at = _path([matrix(v) for v in cols[width - 1]], enter, leave)
+                own = [pa.array(cols[3 + i], t) for i, (_, t) in enumerate(kept)]
+                states = [pa.array(v, pa.int32()) for v in ([enter, *at[:-1]], at)]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[2], pa.int64()), *own, *states], names=["ck", "part", *(n for n, _ in kept), "enter", "leave"])
 
         joined = rows_of.join(ends, ["ck", "block"]).select(*rows_of.columns, "enter", "leave")
-        got = _together(joined, ["ck", "block"], ["turn", "x"] if level == 0 else ["part"]).mapInArrow(down, "ck string, part bigint, x bigint, enter int, leave int")
+        schema = f"ck string, part bigint, {''.join(f'{n} bigint, ' for n, _ in kept)}enter int, leave int"
+        got = _together(joined, ["ck", "block"], ["pos" if level == 0 else "part"]).mapInArrow(down, schema)
         if level == 0:
             names = F.array(*map(F.lit, hmm.roles))
-            return got.select("ck", F.col("part").alias("turn"), "x", names[F.col("leave")].alias("role_pred"))
+            return got.select("ck", "turn", "x", names[F.col("leave")].alias("role_pred"))
         ends = materialise(got.select("ck", F.col("part").alias("block"), "enter", "leave"))
     raise AssertionError("the lowest level returns")
 
@@ -222,11 +248,13 @@ def parse(talk: DataFrame, hmm: Hmm | None = None) -> DataFrame:
     """Rows (conv_id, turn, held_out, role_pred, rendered) of every row of talk (conv_id, turn, text and, to learn, role).
 
     Turns are in order of turn (null: 0), then of a hash of the text; repeated rows are one turn and get the same role.
-    A null text is empty; a null conv_id is a conversation of its own. Without training turns every role is `user`.
+    A null text is empty; null conv_ids are one conversation, in which nothing is learnt. Without training turns every
+    role is `user`; an empty table gives no rows. Further columns of talk are ignored.
     """
-    rows = materialise(turns(talk))
+    rows = turns(talk)
     hmm = hmm or fit(rows) or Hmm(["user"], np.ones((2, 1)), np.ones((1, *SIZES)))
     roles = materialise(decode(rows, hmm))
+    discard(rows)
     text = F.coalesce("text", F.lit(""))
     held = F.coalesce(fold(F.col("conv_id"), FOLDS) == HELD, F.lit(False))
     left = talk.select("conv_id", "turn", text.alias("text"), held.alias("held_out"), key(talk).alias("ck"), turn_of(talk).alias("t"), F.xxhash64(text).alias("x"))

@@ -307,6 +307,84 @@ def test_chat(spark):
     assert sum(r.role == r.role_pred for r in out) / len(out) > 0.9
 
 
+def plain_viterbi(codes, roles, step):
+    """The best path by trying every state before every state, keeping the whole path."""
+    k = len(roles)
+    best = [(step[codes[0]][k][s], (s,)) for s in range(k)]
+    for c in codes[1:]:
+        nxt = []
+        for s in range(k):
+            p = max(range(k), key=lambda q: (best[q][0] + step[c][q][s], -q))
+            nxt.append((best[p][0] + step[c][p][s], (*best[p][1], s)))
+        best = nxt
+    s = max(range(k), key=lambda q: (best[q][0], -q))
+    return [roles[i] for i in best[s][1]]
+
+
+def plain_model(talks, roles):
+    """Log probabilities by code, (state before or start, state), from plain counts over (code, role) sequences."""
+    from math import log
+
+    start, move, n = Counter(), Counter(), Counter()
+    feature = defaultdict(Counter)
+    for talk in talks:
+        for i, (code, role) in enumerate(talk):
+            parts, rest = [], code
+            for size in reversed(chat_format.SIZES):
+                rest, v = divmod(rest, size)
+                parts.append(v)
+            for f, v in enumerate(reversed(parts)):
+                feature[role, f][v] += 1
+            if i == 0:
+                start[role] += 1
+            else:
+                move[talk[i - 1][1], role] += 1
+                n[talk[i - 1][1]] += 1
+    add, k = chat_format.COUNTED, len(roles)
+
+    def emit(role, code):
+        total, rest = 0.0, code
+        for f, size in reversed(list(enumerate(chat_format.SIZES))):
+            rest, v = divmod(rest, size)
+            c = {i: feature[role, f][i] + add for i in range(size)}
+            if f == 0 and role in chat_format.MARKERS:
+                c[1 + list(chat_format.MARKERS).index(role)] += chat_format.MATCH
+            total += log(c[v] / sum(c.values()))
+        return total
+
+    moves = [[log((move[a, b] + add) / (n[a] + add * k)) for b in roles] for a in roles]
+    moves.append([log((start[b] + add) / (sum(start.values()) + add * k)) for b in roles])
+    codes = range(int(np.prod(chat_format.SIZES)))
+    return {c: [[m + emit(b, c) for m, b in zip(row, roles, strict=True)] for row in moves] for c in codes}
+
+
+def test_chat_against_plain_counts(spark):
+    """Moves across blocks and partitions, null turns and more conversations than one: model and paths as plain Python has them."""
+    rnd = random.Random(2)
+    rows = [(1, i, rnd.choice(("user", "assistant")), "why? " * rnd.randrange(1, 60)) for i in range(64 * 70)]
+    rows += [(2, None, rnd.choice(("user", "assistant", "tool")), f"Tool: {i}") for i in range(700)]
+    rows += [(c, i, ("system", "user", "assistant")[min(i, 1 + i % 2)], f"{rnd.choice(('User: ', '', 'Assistant: '))}t{c} {i}") for c in range(3, 30) for i in range(9)]
+    talk = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    turns = materialise(chat_format.turns(talk).withColumn("learn", F.lit(True)))
+    got = turns.orderBy("ck", "pos").collect()
+    by = defaultdict(list)
+    for r in got:
+        assert r.pos == len(by[r.ck])
+        by[r.ck].append(r)
+    assert all([(r.turn, r.x) for r in v] == sorted((r.turn, r.x) for r in v) for v in by.values())
+    hmm = chat_format.fit(turns)
+    roles = sorted({r[2] for r in rows})
+    assert hmm.roles == roles
+    step = plain_model([[(r.code, r.role) for r in v] for v in by.values()], roles)
+    assert all(np.allclose(hmm.step[c], step[c]) for c in step)
+    found = {(r.ck, r.turn, r.x): r.role_pred for r in chat_format.decode(turns, hmm).collect()}
+    for v in by.values():
+        codes, mine = [r.code for r in v], [roles.index(found[r.ck, r.turn, r.x]) for r in v]
+        best = [roles.index(x) for x in plain_viterbi(codes, roles, hmm.step)]
+        score = lambda path: sum(hmm.step[c][p, s] for c, p, s in zip(codes, [len(roles), *path], path))
+        assert score(mine) == pytest.approx(score(best), abs=1e-9)  # of several best paths any will do
+
+
 def test_chat_blocks_are_exact(spark):
     """A conversation of several levels of blocks is decoded as plain Viterbi decodes it."""
     rnd = random.Random(2)
@@ -318,6 +396,19 @@ def test_chat_blocks_are_exact(spark):
     assert got == [hmm.roles[i] for i in chat_format._path([hmm.step[c] for c in codes], len(hmm.roles), -1)]
 
 
+def test_chat_blocks_are_short(spark):
+    """A conversation without numbered turns is cut into blocks like any other."""
+    talk = spark.createDataFrame([(1, None, "user", f"text {i}") for i in range(2000)], "conv_id bigint, turn bigint, role string, text string")
+    blocks = chat_format.turns(talk).groupBy(F.floor(F.col("pos") / 64)).count().collect()
+    assert max(r["count"] for r in blocks) == 64 and len(blocks) == 32
+
+
+def test_chat_many_roles(spark):
+    rows = [(c, t, f"role{(c * 7 + t) % 90}", f"t {c} {t}") for c in range(60) for t in range(6)]
+    hmm = chat_format.fit(chat_format.turns(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).withColumn("learn", F.lit(True)))
+    assert len(hmm.roles) == chat_format.ROLES and chat_format.OTHER in hmm.roles
+
+
 # A writer of lossless streams with every feature, for the decoder's general path.
 
 
