@@ -1,8 +1,9 @@
 """Quality rules and a hashed n-gram log-likelihood ratio (native: DataFrame functions only).
 
-Word unigrams and bigrams are hashed into BUCKETS. The trusted multinomial is counted over a bounded sample of trusted
-documents, the raw one over all documents; a document scores the mean of log(trusted / raw) over its n-grams and is
-kept from a fixed score on. Everything about a document is computed in its own row: only BUCKETS counts are shuffled.
+Word unigrams and bigrams are hashed into BUCKETS. The trusted multinomial is counted over the trusted documents of all
+folds but one, the raw one over all documents; a document scores the mean of log(trusted / raw) over its n-grams. The
+trusted documents of the fold left out, of which no count knows, give the threshold: the score that all but LOST of them
+reach. Everything about a document is computed in its own row: only BUCKETS counts are shuffled.
 """
 
 from __future__ import annotations
@@ -12,13 +13,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, first_by_hash
+from tessera.llm.common import WORD, discard, few, fold, materialise
 
 BUCKETS, SMOOTH = 1 << 14, 1.0
-#: The most trusted documents that the target multinomial is counted over, in hash order.
-TRUSTED = 20_000
-#: The least mean log ratio of a kept document, between the two kinds of labelled documents of the test tables.
-LEAST_SCORE = -0.045
+#: The fold of trusted documents that sets the threshold, of how many, and the share of them that may fall below it.
+FOLDS, HELD, LOST, ACCURACY = 4, 3, 0.02, 10_000
 SYMBOLS = "[#*$%&|<>]"
 
 
@@ -41,10 +40,9 @@ def _buckets(h: Column) -> Column:
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """log(trusted / raw) of each bucket, smoothed; trusted: rows (doc_id), of which TRUSTED are used."""
-    ids = trusted.where("doc_id is not null").select("doc_id").distinct()
-    few = first_by_hash(ids, "doc_id", TRUSTED, "trusted").withColumn("t", F.lit(1))
-    d = _words(docs).join(F.broadcast(few), "doc_id", "left").select("h", F.coalesce("t", F.lit(0)).alias("t"))
+    """log(trusted / raw) of each bucket, smoothed; trusted: rows (doc_id), each counted once, none cut off."""
+    # Hashes come before the join, which keeps the planner from working them out again for every use.
+    d = _words(docs).join(few(trusted.select("doc_id", F.lit(1).alias("t"))), "doc_id", "left").select("h", F.coalesce("t", F.lit(0)).alias("t"))
     grams = d.select("t", F.explode(F.concat(_buckets(F.col("h")), _buckets(_grams(F.col("h"), 2)))).alias("bucket"))
     counts = {r["bucket"]: (r["raw"], r["t"]) for r in grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("t")).collect()}
     raw, t = (sum(v[i] for v in counts.values()) + SMOOTH * BUCKETS for i in (0, 1))
@@ -53,6 +51,30 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     return [math.log((b + SMOOTH) / t) - math.log((a + SMOOTH) / raw) if t > SMOOTH * BUCKETS else 0.0 for a, b in pair]
 
 
+def _literal(table: list[float]) -> Column:
+    """One folded literal in the plan, of BUCKETS numbers."""
+    return F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
+
+
+def _mean(h: Column, b: Column, table: list[float]) -> Column:
+    """The mean of the n-grams' ratios; 0 without any."""
+    llr = _literal(table)
+    add = lambda acc, x: acc + F.get(llr, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    return F.aggregate(b, F.aggregate(h, F.lit(0.0), add), add) / F.greatest(F.size(h) + F.size(b), F.lit(1))
+
+
+def threshold(docs: DataFrame, held: DataFrame, table: list[float], lost: float = LOST) -> float:
+    """The score that all but a share of `lost` of the documents of held (doc_id) with 50 words or more reach.
+
+    held must not be among the counts behind the table. Without such documents there is no bound, and none is refused.
+    """
+    texts = materialise(docs.select("doc_id", "text").join(few(held), "doc_id"))
+    d = _words(texts).withColumn("b", _grams(F.col("h"), 2)).select(F.size("h").alias("n"), _mean(F.col("h"), F.col("b"), table).alias("llr"))
+    least = d.where("n >= 50").agg(F.percentile_approx("llr", F.lit(lost), F.lit(ACCURACY))).first()[0]
+    discard(texts)
+    return -math.inf if least is None else least
+
+
 def repeated_words(placed: Column) -> Column:
     """Words in the 3-word windows that occur twice or more; placed: (window, place) sorted, or null without repeats."""
     twice = F.filter(placed, lambda e, i: (F.get(placed, i - 1)["g"] == e["g"]) | (F.get(placed, i + 1)["g"] == e["g"]))
@@ -62,19 +84,22 @@ def repeated_words(placed: Column) -> Column:
     return F.when(placed.isNull(), F.lit(0)).otherwise(F.aggregate(at, zero, step, lambda acc: acc["n"]))
 
 
-def score(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+def score(docs: DataFrame, trusted: DataFrame, least_score: float | None = None) -> DataFrame:
     """Rows (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr) of every row.
 
-    A null text has no words; a document without n-grams has the ratio 0. Rows with equal texts get equal values.
+    trusted: rows (doc_id); repeats count once, null ids not at all. Without least_score, threshold() of the fold left
+    out is the least score of a kept document. A null or empty text has no words and fails; a document without n-grams
+    has the ratio 0. Rows with equal texts get equal values, an empty table gives no rows, other columns are ignored.
+    Write the result before filtering by it: a filter that is pushed into its expressions works them out again and again.
     """
-    table = ratios(docs, trusted)
-    # One folded literal in the plan, of BUCKETS numbers.
-    llr = F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
+    ids = materialise(trusted.where("doc_id is not null").select("doc_id").distinct())
+    held = fold(F.col("doc_id"), FOLDS) == HELD
+    table = ratios(docs, ids.where(~held))
+    if least_score is None:
+        least_score = threshold(docs, ids.where(held), table)
     d = _words(docs).withColumn("b", _grams(F.col("h"), 2)).withColumn("g", _grams(F.col("h"), 3))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     pairs = F.transform("g", lambda x, i: F.struct(x.alias("g"), i.alias("i")))
-    add = lambda acc, x: acc + F.get(llr, x.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-    total = F.aggregate("b", F.aggregate("h", F.lit(0.0), add), add)
     d = d.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
@@ -82,7 +107,7 @@ def score(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE)
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         F.when(F.size(F.array_distinct("g")) < F.size("g"), F.array_sort(pairs)).alias("placed"),
-        (total / F.greatest(F.size("h") + F.size("b"), F.lit(1))).alias("llr"),
+        _mean(F.col("h"), F.col("b"), table).alias("llr"),
     )
     d = d.select(
         *("doc_id", "n_words", "word_chars", "n_symbols"),
@@ -91,4 +116,4 @@ def score(docs: DataFrame, trusted: DataFrame, least_score: float = LEAST_SCORE)
         "llr",
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= least_score))
+    return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= F.lit(least_score)))

@@ -205,7 +205,8 @@ def test_language(spark):
 
 def test_quality(spark, docs, rows):
     labels = table(spark, SF, "labels")
-    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
+    good_ids = {r.doc_id for r in labels.where("quality = 1").collect()}
+    trusted = {k for k in good_ids if zlib.crc32(str(k).encode()) % 4 != 3}
     got = {r.doc_id: r for r in quality_llr.score(docs, labels.where("quality = 1")).collect()}
     hashes = {(r.a,): r.h for r in spark.createDataFrame([(w,) for w in {w for r in rows for w in WORD.findall(r.text or "")}], "a string").select("a", F.xxhash64("a").alias("h")).collect()}
     pairs = sorted({p for r in rows for w in [WORD.findall(r.text or "")] for p in zip(w, w[1:])})
@@ -230,7 +231,22 @@ def test_quality(spark, docs, rows):
         assert g.n_repeat_words == len({j for i, t in enumerate(tri) if c[t] > 1 for j in (i, i + 1, i + 2)})
         v = [np.log((good[b] + 1) / m) - np.log((raw[b] + 1) / n) for b in grams[r.doc_id]]
         assert g.llr == pytest.approx(float(np.mean(v)) if v else 0.0, abs=1e-9)
-        assert g.kept == (not g.base_failed and g.llr >= quality_llr.LEAST_SCORE)
+    scores = sorted(got[k].llr for k in good_ids - trusted if got[k].n_words >= 50)
+    least = scores[max(0, -(-2 * len(scores) // 100) - 1)]
+    assert len(scores) > 5 and all(g.kept == (not g.base_failed and g.llr >= least) for g in got.values())
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_quality_keeps_unseen_good_documents(spark, sf):
+    """Good documents that neither the counts nor the threshold know are kept at every size alike."""
+    d = table(spark, f"/root/testdata/sf{sf}", "documents")
+    labels = table(spark, f"/root/testdata/sf{sf}", "labels").where("quality is not null")
+    known = labels.where("quality = 1 and crc32(cast(doc_id as string)) % 5 <> 0")
+    unseen = labels.where("crc32(cast(doc_id as string)) % 5 = 0")
+    got = materialise(quality_llr.score(d, known)).where("not base_failed").join(unseen, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n"))
+    share = {r["quality"]: (r["kept"], r["n"]) for r in got.collect()}
+    assert share[1][0] >= (0.85 if sf == "0.001" else 0.93), share
+    assert 0 not in share or share[0][0] < 0.5 or share[0][1] < 5, share
 
 
 def test_mixing(docs, rows):
