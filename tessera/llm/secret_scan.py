@@ -39,7 +39,7 @@ RULES = (
 #: For rules whose matches all have a cheap mark: texts without it are not searched.
 MARKS = {"assign": re.compile("[:=]"), "access": re.compile("AKIA"), "hex": re.compile("[0-9a-f]{32}")}
 #: The most unseen blobs whose list, of some 100 bytes each, is sent to where the texts lie.
-FEW_BLOBS = 1 << 16
+FEW_BLOBS = 1 << 12
 LEDGER = "blob binary, rule string, version int"
 FINDINGS = f"{LEDGER}, starts array<int>, ends array<int>"
 
