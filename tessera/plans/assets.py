@@ -24,15 +24,25 @@ def text(*parts):
     return F.concat(*(p.cast("string") if hasattr(p, "cast") else F.lit(str(p)) for p in parts))
 
 
-@query("write_fnt", "SELECT p_brand AS brand, string_agg('char id=' || p_partkey || ' x=' || p_size || ' xadvance=' || (p_size + 3), chr(10) ORDER BY p_partkey) AS lines, count(*) AS chars FROM part WHERE p_partkey < 4000 GROUP BY p_brand")
+@query("write_fnt", "SELECT p_brand AS brand, string_agg('char id=' || p_partkey || ' x=' || p_size || ' xadvance=' || (p_size + 3), chr(10) ORDER BY p_partkey) AS lines, count(*) AS chars FROM part GROUP BY p_brand")
 def write_fnt(spark, sf):
-    """Every part's line; the SQL agrees where no id reaches 4,000 (sf0.01 and below)."""
+    """Every part's line, a text a brand; write_fnt_pages bounds a text's length."""
     p = X.table(spark, sf, "part")
     line = text("char id=", F.col("p_partkey"), " x=", F.col("p_size"), " xadvance=", F.col("p_size") + 3)
     g = p.groupBy(F.col("p_brand").alias("brand")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))).alias("ls"), F.count("*").alias("chars"))
     return g.select("brand", F.array_join(F.transform("ls", lambda e: e["l"]), "\n").alias("lines"), "chars")
 
 
+@query("write_fnt_pages", "SELECT p_brand AS brand, p_partkey // 6400 AS page, string_agg('char id=' || p_partkey || ' x=' || p_size || ' xadvance=' || (p_size + 3), chr(10) ORDER BY p_partkey) AS lines, count(*) AS chars FROM part GROUP BY p_brand, p_partkey // 6400")
+def write_fnt_pages(spark, sf, ids: int = 6400):
+    """A text for each brand and run of ids, so that none has more lines than that."""
+    p = X.table(spark, sf, "part")
+    line = text("char id=", F.col("p_partkey"), " x=", F.col("p_size"), " xadvance=", F.col("p_size") + 3)
+    g = p.groupBy(F.col("p_brand").alias("brand"), F.floor(F.col("p_partkey") / ids).alias("page"))
+    g = g.agg(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("l")))).alias("ls"), F.count("*").alias("chars"))
+    return g.select("brand", "page", F.array_join(F.transform("ls", lambda e: e["l"]), "\n").alias("lines"), "chars")
+
+
 @query("write_fnt_xml", "SELECT p_partkey AS id, '<char id=\"' || p_partkey || '\" xadvance=\"' || p_size || '\" letter=\"' || replace(replace(p_name || ' & <b>', '&', '&amp;'), '<', '&lt;') || '\"/>' AS xml FROM part")
 def write_fnt_xml(spark, sf):
     esc = F.replace(F.replace(F.concat("p_name", F.lit(" & <b>")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))

@@ -162,12 +162,6 @@ def mark_placement(spark, sf, size: int = 108, box: float = 0.6):
     return p.select("id", half_up(k, 5).alias("scale"), half_up((size - F.col("w") * k) / 2, 4).alias("ox"), half_up((size - F.col("h") * k) / 2, 4).alias("oy"))
 
 
-@query("strip_aspect", f"WITH {X.FRAMES}, a AS (SELECT action, count(*) AS n FROM frm WHERE image_id % 9 = action % 9 GROUP BY action) SELECT action, n, CASE WHEN n <= 1 THEN '1:1' WHEN n <= 3 THEN '3:2' WHEN n <= 5 THEN '16:9' ELSE '21:9' END AS aspect FROM a")
-def strip_aspect(spark, sf):
-    a = X.packed(spark, sf).where("image_id % 9 = action % 9").groupBy("action").agg(F.count("*").alias("n"))
-    return a.withColumn("aspect", F.when(F.col("n") <= 1, "1:1").when(F.col("n") <= 3, "3:2").when(F.col("n") <= 5, "16:9").otherwise("21:9"))
-
-
 def strip_shape(n):
     """The aspect of a strip of n frames, as the reference cuts them."""
     return F.when(n <= 1, "1:1").when(n == 2, "3:2").when(n <= 4, "16:9").otherwise("21:9")
@@ -176,9 +170,13 @@ def strip_shape(n):
 _SHAPE = "CASE WHEN n <= 1 THEN '1:1' WHEN n = 2 THEN '3:2' WHEN n <= 4 THEN '16:9' ELSE '21:9' END"
 
 
-@query("strip_aspect_all", f"WITH {X.FRAMES}, a AS (SELECT action, count(*) AS n FROM frm GROUP BY action) SELECT action, n, {_SHAPE} AS aspect FROM a")
+_STRIPS = f"WITH {X.FRAMES}, a AS (SELECT action, count(*) AS n FROM frm GROUP BY action) SELECT action, n, {_SHAPE} AS aspect FROM a"
+
+
+@query("strip_aspect", _STRIPS)
+@query("strip_aspect_all", _STRIPS)
 def strip_aspect_all(spark, sf):
-    """All frames of each action; strip_aspect and its SQL take about one in nine."""
+    """All frames of each action."""
     a = X.packed(spark, sf).groupBy("action").agg(F.count("*").alias("n"))
     return a.withColumn("aspect", strip_shape(F.col("n")))
 

@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import assets, atlases, colour, compare, kernels, ledger, measure, motion, raster, rechecks, stencils, terrain, text  # noqa: F401
+    from tessera.plans import assets, atlases, axes, colour, compare, exports, gates, sheets, kernels, ledger, measure, motion, raster, rechecks, stencils, terrain, text  # noqa: F401

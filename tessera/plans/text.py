@@ -76,13 +76,6 @@ def parse_color_query(spark, sf):
     return X.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), c.alias("c")).select("id", "c.r", "c.g", "c.b", half_up(F.col("c.a"), 4).alias("a"))
 
 
-@query("normalize_hex", f"WITH s AS (SELECT p_partkey AS id, lower(trim({_SPELL})) AS t FROM part WHERE p_partkey % 8 < 2) SELECT id, CASE WHEN length(t) = 4 THEN '#' || regexp_replace(substr(t, 2), '(.)', '\\1\\1', 'g') ELSE t END AS hex FROM s")
-def normalize_hex(spark, sf):
-    c = X.table(spark, sf, "part").where("p_partkey % 8 < 2").select(F.col("p_partkey").alias("id"), parse_color(_spelt()).alias("c"))
-    two = lambda v: F.lpad(F.lower(F.hex(v)), 2, "0")
-    return c.select("id", F.concat(F.lit("#"), *(two(F.col(f"c.{n}")) for n in "rgb")).alias("hex"))
-
-
 def normal_hex(s: Column) -> Column:
     """A colour as #rrggbb, whatever its spelling and alpha; null where it is no colour."""
     c = parse_color(s)
@@ -93,9 +86,13 @@ def normal_hex(s: Column) -> Column:
 _NORMAL = " || ".join(f"lpad(printf('%x', greatest(0, least(255, {n}))), 2, '0')" for n in "rgb")
 
 
-@query("normalize_hex_all", f"SELECT id, CASE WHEN r IS NOT NULL THEN '#' || {_NORMAL} END AS hex FROM ({ORACLES['parse_color']}) q")
+_HEX_SQL = f"SELECT id, CASE WHEN r IS NOT NULL THEN '#' || {_NORMAL} END AS hex FROM ({ORACLES['parse_color']}) q"
+
+
+@query("normalize_hex", _HEX_SQL)
+@query("normalize_hex_all", _HEX_SQL)
 def normalize_hex_all(spark, sf):
-    """Every part's colour; normalize_hex and its SQL take two of the eight spellings."""
+    """Every part's colour in every spelling; null where it is no colour."""
     return X.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), normal_hex(_spelt()).alias("hex"))
 
 
