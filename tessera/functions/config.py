@@ -8,10 +8,15 @@ import re
 from pathlib import Path
 from typing import Any
 
+# Fixed values of the image service.
 SIZES = ("512px", "1K", "2K", "4K")
+ASPECTS = ("1:1", "2:3", "3:2", "3:4", "4:3", "4:5", "5:4", "9:16", "16:9", "21:9")
+LEVELS = ("off", "low", "medium", "high")
+MOST_SIDE = 8192
 DEFAULTS: dict[str, Any] = {
-    "brief": "brief.md", "references": [], "palette": [], "model": "", "judge": "", "size": "1K", "candidates": 3, "background": "auto", "sizes": [], "pixel": None, "quantize": False, "budget": 2.0,
+    "brief": "brief.md", "references": [], "palette": [], "model": "image-model", "judge": "text-model", "size": "1K", "aspect": "1:1", "candidates": 3, "background": "auto", "sizes": [], "pixel": None, "quantize": False, "budget": 2.0,
     "key": {"tolerance": 30, "despill": True}, "thresholds": {"shape": 0.5, "size": 0.15, "palette": 15, "jump": 0.45}, "out": "out", "ledger": "usage.jsonl", "pricing": {},
+    "thinking": {}, "judge_thinking": {}, "context": {"files": []},
 }
 #: Environment variables and the settings that they override.
 ENVIRONMENT = {"TESSERA_MODEL": "model", "TESSERA_JUDGE": "judge", "TESSERA_OUT": "out", "TESSERA_BRIEF": "brief", "TESSERA_BUDGET": "budget"}
@@ -28,41 +33,89 @@ def normal_hex(text: Any) -> str | None:
     return m and "#" + (m[1] if len(m[1]) == 6 else "".join(c * 2 for c in m[1]))
 
 
-def parse_size(text: Any) -> tuple[int, int]:
-    m = re.fullmatch(r"(\d+)(?:\s*[x×]\s*(\d+))?", str(text).strip(), re.I)
-    w, h = (int(m[1]), int(m[2] or m[1])) if m else (0, 0)
-    if not (1 <= w <= 8192 and 1 <= h <= 8192):
-        raise ValueError(f"{text!r} is not a size such as 64x64, up to 8192")
-    return w, h
-
-
-def _number(v: Any, low: float, high: float) -> bool:
-    return isinstance(v, (int, float)) and not isinstance(v, bool) and low <= v <= high
-
-
-def check(c: dict) -> dict:
-    """The settings with colours and sizes in one form; the first rule that is broken is the error."""
-    palette = [normal_hex(p) for p in c["palette"]]
-    rules = (
-        (isinstance(c["brief"], str) and c["brief"].strip(), "brief must be a path"),
-        (isinstance(c["references"], list) and all(isinstance(r, str) and r.strip() for r in c["references"]), "references must be a list of paths"),
-        (all(palette), "every palette entry must be a colour"),
-        (c["size"] in SIZES, f"size must be one of {', '.join(SIZES)}"),
-        (isinstance(c["candidates"], int) and 1 <= c["candidates"] <= 8, "candidates must be a whole number from 1 to 8"),
-        (c["background"] in (None, "auto") or normal_hex(c["background"]), "background must be auto, a colour or null"),
-        (isinstance(c["key"], dict) and _number(c["key"].get("tolerance"), 1, 80), "key.tolerance must be from 1 to 80"),
-        (isinstance(c["key"].get("despill"), bool), "key.despill must be true or false"),
-        (c["pixel"] is None or isinstance(c["pixel"], dict) and _number(c["pixel"].get("grid"), 4, 512), "pixel.grid must be from 4 to 512"),
-        (isinstance(c["quantize"], bool), "quantize must be true or false"),
-        (c["budget"] is None or _number(c["budget"], 0, float("inf")), "budget must be a number of dollars or null"),
-        (all(isinstance(c[k], str) and c[k].strip() for k in ("out", "ledger")), "out and ledger must be paths"),
-        (isinstance(c["pricing"], dict), "pricing must be an object"),
-    )
-    for ok, message in rules:
-        if not ok:
-            raise ValueError(message)
-    back = c["background"] if c["background"] in (None, "auto") else normal_hex(c["background"])
-    return c | {"palette": palette, "background": back, "sizes": [parse_size(s) for s in c["sizes"]]}
+# A schema is a tree of kinds. A kind is a function from a value to (value in its one form, what is expected instead or None).
+
+
+def one_of(*allowed):
+    return lambda v: (v, None if v in allowed else "one of " + " / ".join(map(str, allowed)))
+
+
+def number(low: float, high: float, whole: bool = False, empty: bool = False):
+    types = int if whole else (int, float)
+    span = f"{'an integer' if whole else 'a number'} in [{low:g}, {high:g}]"
+    return lambda v: (v, None if (empty and v is None) or (isinstance(v, types) and not isinstance(v, bool) and low <= v <= high) else span)
+
+
+def flag(v):
+    return v, None if v is True or v is False else "a boolean"
+
+
+def words(v):
+    return v, None if isinstance(v, str) and v.strip() else "a non-empty string"
+
+
+def colour(v):
+    hex_ = normal_hex(v)
+    return hex_, None if hex_ else "a hex colour"
+
+
+def size(v):
+    """(width, height) of `N` or `WxH`."""
+    sides = [part.strip() for part in re.split("[x×]", str(v).lower())]
+    if not 1 <= len(sides) <= 2 or not all(x.isdecimal() and 0 < int(x) <= MOST_SIDE for x in sides):
+        return v, f"N or WxH with sides of 1 to {MOST_SIDE}"
+    return (int(sides[0]), int(sides[-1])), None
+
+
+def either(fixed: tuple, kind):
+    return lambda v: (v, None) if v is None and None in fixed or isinstance(v, str) and v in fixed else kind(v)
+
+
+def each(kind):
+    def check_all(v):
+        if not isinstance(v, list):
+            return v, "a list"
+        got = [kind(x) for x in v]
+        wrong = next((w for _, w in got if w), None)
+        return [x for x, _ in got], wrong and f"a list, each {wrong}"
+
+    return check_all
+
+
+#: The settings that have rules; "a.b" is within the object a, and "?" marks one that may be left out.
+SCHEMA = {
+    "budget": number(0, 1e12, empty=True), "candidates": number(1, 8, whole=True), "quantize": flag, "size": one_of(*SIZES), "aspect": one_of(*ASPECTS),
+    "background": either((None, "auto"), colour), "palette": each(colour), "sizes": each(size), "references": each(words),
+    **{name: words for name in ("brief", "ledger", "out", "model", "judge")},
+    "key.tolerance": number(1, 80), "key.despill": flag, "pixel.grid?": number(4, 512, whole=True), "pixel.colors?": number(2, 256, whole=True),
+    **{f"{part}.{name}?": kind for part in ("thinking", "judge_thinking") for name, kind in (("level", one_of(*LEVELS)), ("budget", number(0, 2**31, whole=True)))},
+    "thresholds.shape": number(0, 1), "thresholds.size": number(0, 1), "thresholds.palette": number(0, 200), "thresholds.jump": number(0, 1), "context.files?": each(words),
+}
+#: Objects, and whether null stands for none.
+OBJECTS = {"key": False, "pixel": True, "thinking": False, "judge_thinking": False, "thresholds": False, "pricing": False, "context": False}
+
+
+def problems(settings: dict) -> tuple[dict, list[str]]:
+    """The settings with every value in its one form, and a line for each that no rule allows."""
+    wrong = [f"{name}: expected an object" for name, empty in OBJECTS.items() if not (isinstance(settings.get(name), dict) or empty and settings.get(name) is None)]
+    out = {k: dict(v) if isinstance(v, dict) else v for k, v in settings.items()}
+    for path, kind in SCHEMA.items():
+        *owner, leaf = path.rstrip("?").split(".")
+        home = out if not owner else out.get(owner[0])
+        if not isinstance(home, dict) or (path.endswith("?") and leaf not in home):
+            continue  # an object that is no object has its own line, and one that is null has no rules
+        home[leaf], expected = kind(home.get(leaf))
+        if expected:
+            wrong.append(f"{path.rstrip('?')}: expected {expected}")
+    return out, wrong
+
+
+def check(settings: dict) -> dict:
+    """The settings in one form; all that is wrong with them is one error."""
+    out, wrong = problems(settings)
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return out
 
 
 def load(path: str | None = None, arguments: dict | None = None, env: dict | None = None) -> dict:

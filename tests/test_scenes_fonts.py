@@ -113,3 +113,17 @@ def test_clients():
     assert clients.JudgeClient(judge, "x").ask("which?", {}) == {"pick": 2} and asked == [4096, 8192, 16384]
     assert base64.b64decode(clients.image_part(picture)["inlineData"]["data"]) == picture
     assert clients.image_models({"models": [{"name": "models/an-image", "supportedGenerationMethods": ["generateContent"]}, {"name": "models/text"}]}) == ["an-image"]
+
+
+def test_settings_say_all_that_is_wrong():
+    bad = {"aspect": "5:1", "thinking": {"level": "some"}, "judge_thinking": {"budget": -1}, "pixel": {"grid": 32, "colors": 1}, "key": 5, "thresholds": {"jump": 2}, "context": {"files": [""]}, "model": " ", "sizes": ["4x4x4"]}
+    _, wrong = config.problems(config.merge(config.DEFAULTS, {}) | bad)
+    named = {w.split(":")[0] for w in wrong}
+    assert {"aspect", "thinking.level", "judge_thinking.budget", "pixel.colors", "key", "thresholds.jump", "context.files", "model", "sizes"} <= named
+    assert config.problems(config.DEFAULTS)[1] == []
+
+
+def test_scene_says_all_that_is_wrong():
+    spec = {"canvas": (9, 9), "fps": 500, "layers": [{"id": "1a", "opacity": 2}, {"id": "b", "scaleX": 3}], "animate": [{"target": "b", "for": 5, "scale": (1, 2)}, {"target": "c", "for": 5, "blur": (1, 2)}, {"target": "b", "at": 4, "for": -1, "rotate": (0, 1)}, {"target": "b", "for": 1}]}
+    wrong = scene.complaints(spec, scene.layer_table(spec), scene.segment_table(spec))
+    assert len(wrong) == 7
