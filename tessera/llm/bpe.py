@@ -304,7 +304,11 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), encoding and decoding every whole text in one pass."""
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256), encoding and decoding every whole text in one pass.
+
+    A null or empty text has no ids and the digests of the empty text. Repeated rows get equal rows; an empty table gives
+    no rows, and other columns are ignored.
+    """
     send = _vocabulary(docs, path)
     kind = dict(docs.dtypes)["doc_id"]
 

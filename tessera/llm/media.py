@@ -73,7 +73,11 @@ def decode_column(media: DataFrame) -> DataFrame:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Each text stored, read back from the stored bytes and described; nothing but digests leaves the task."""
+    """Each text stored, read back from the stored bytes and described; nothing but digests leaves the task.
+
+    A null text is an empty one, whose payload is one block of 255. Repeated rows get equal rows, equal texts equal files;
+    an empty table gives no rows, and other columns are ignored.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(doc_id, text):
