@@ -59,8 +59,9 @@ def dominant_palette(spark, sf):
 @query("palette_delta")
 def palette_delta(spark, sf):
     """Each frame's main colours against the nearest of its action's first frame, weighted by cover; null without colours."""
-    w = Window.partitionBy("action").orderBy("image_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = X.packed(spark, sf).select("image_id", F.first("data").over(w).alias("ref"), "data")
+    p = X.packed(spark, sf)
+    first = p.groupBy("action").agg(F.min_by("data", "image_id").alias("ref"))  # a picture an action
+    d = p.join(first, p["action"].eqNullSafe(first["action"])).select("image_id", "ref", "data")
     d = d.select("image_id", dominant(F.col("data"), 8).alias("mine"), dominant(F.col("ref"), 12).alias("theirs"))
     cost = F.transform("mine", lambda m: F.array_min(F.transform("theirs", lambda t: C.distance(m["lab"], t["lab"]))) * m["n"])
     total = F.aggregate(cost, F.lit(0.0), lambda acc, v: acc + v)

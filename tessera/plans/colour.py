@@ -150,9 +150,8 @@ def _over_sql():
 @query("over", _over_sql())
 def over(spark, sf):
     """Each frame over the one before it: whole pictures are paired, then zipped sample by sample."""
-    p = X.packed(spark, sf).join(X.frames(spark, sf).select("image_id", "frame_ix"), "image_id")
-    under = p.select("action", (F.col("frame_ix") + 1).alias("frame_ix"), F.col("data").alias("low"))
-    d = p.join(under, ["action", "frame_ix"]).select("image_id", "data", "low", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
+    p = X.in_sequence(X.packed(spark, sf), "data").where("low is not null")
+    d = p.select("image_id", "data", "low", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("i"))
     t, u = ({c: F.get(F.col(n), F.col("i") * 4 + k) for k, c in enumerate("rgba")} for n in ("data", "low"))
     k, j = t["a"] / 255.0, u["a"] / 255.0
     out = k + j * (1 - k)

@@ -18,10 +18,8 @@ def sixteen():
 
 
 def neighbours(spark, sf):
-    """(image_id, action, frame_ix, data, low): each frame's bytes and those of the one before; lag moves whole pictures."""
-    w = Window.partitionBy("action").orderBy("image_id")
-    d = X.packed(spark, sf).select("image_id", "action", "data", F.lag("data").over(w).alias("low"), (F.row_number().over(w) - 1).cast("long").alias("frame_ix"))
-    return d.where("low is not null")
+    """(image_id, action, frame_ix, data, low): each frame's bytes and those of the one before; whole pictures are moved."""
+    return X.in_sequence(X.packed(spark, sf), "data").where("low is not null")
 
 
 def _at(name: str, p, k: int):
@@ -97,7 +95,7 @@ def action_measure(spark, sf):
     """Each frame's height against the upper median of its action's, which a percentile of the sorted counts gives in two steps."""
     y = F.when(F.col("a") >= 160, F.col("y"))
     h = X.pixels(spark, sf).groupBy("action", "image_id").agg(F.coalesce(F.max(y) - F.min(y) + 1, F.lit(0)).alias("height"))
-    h = h.withColumn("frame_ix", (F.row_number().over(Window.partitionBy("action").orderBy("image_id")) - 1).cast("long"))
+    h = X.in_sequence(h)
     # Heights are few, so their counts are: the median comes from those, not from a list of an action's frames.
     n = h.where("height > 0").groupBy("action", "height").agg(F.count("*").alias("n"))
     w = Window.partitionBy("action")

@@ -45,11 +45,32 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("image_id", "action", F.col("i").cast("long").alias("i"), (F.col("i") % 4).cast("long").alias("x"), F.floor(F.col("i") / 4).alias("y"), *(F.col("p")[k].alias(c) for k, c in enumerate("rgba")))
 
 
+#: Ids of a chunk: the frames of an action are put in order a chunk at a time.
+CHUNK = 1 << 12
+
+
+def in_sequence(d: DataFrame, carry: str | None = None) -> DataFrame:
+    """d (image_id, action, ...) with frame_ix, its place among its action's frames, and `low`, the frame before's `carry`.
+
+    A window holds a chunk of an action at most, however long the action is; one row a chunk hands its count and its last
+    frame on to the next chunk that has frames of the action.
+    """
+    d = d.withColumn("chunk", F.floor(F.col("image_id") / CHUNK))
+    last = F.max_by(F.struct(carry or "image_id"), "image_id")
+    ends = d.groupBy(F.col("action").alias("of"), F.col("chunk").alias("at")).agg(F.count("*").alias("n"), last.alias("last"))
+    chunks = Window.partitionBy("of").orderBy("at")
+    before = F.coalesce(F.sum("n").over(chunks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select("of", "at", before.alias("base"), F.lag("last").over(chunks).alias("carried"))
+    own = Window.partitionBy("action", "chunk").orderBy("image_id")
+    j = d.join(ends, F.col("action").eqNullSafe(F.col("of")) & (F.col("chunk") == F.col("at"))).withColumn("k", F.row_number().over(own))
+    if carry:
+        j = j.withColumn("low", F.when(F.col("k") == 1, F.col("carried")[carry]).otherwise(F.lag(carry).over(own)))
+    return j.withColumn("frame_ix", (F.col("base") + F.col("k") - 1).cast("long")).drop("chunk", "of", "at", "base", "carried", "k")
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(image_id, action, frame_ix): an action's pictures in order of id."""
-    w = Window.partitionBy("action").orderBy("image_id")
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("long").alias("action"))
-    return e.withColumn("frame_ix", (F.row_number().over(w) - 1).cast("long"))
+    return in_sequence(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), F.col("label").cast("long").alias("action")))
 
 
 def palette(spark: SparkSession, colours: tuple[str, ...] = PALETTE) -> DataFrame:

@@ -44,7 +44,10 @@ def _calls(spark, sf):
     i = F.col("id") % 5
     model = F.when(i == 0, "models/gemini-3.8-flash-001").when(i == 1, "gemini-3.5-flash-lite").when(i == 2, "gemini-3.5-flash-preview").when(i == 3, "other-model").otherwise("gemini-3-pro-image")
     day = F.date_format(F.date_add(F.to_date("ts"), (F.col("id") % 2000).cast("int")), "yyyy-MM-dd")
-    return led.select("id", P.price(model, day).alias("p"))
+    calls = led.select("id", model.alias("model"), day.alias("day"))
+    # A price is looked up once for each model and day.
+    prices = calls.select("model", "day").distinct().withColumn("p", P.price(F.col("model"), F.col("day")))
+    return calls.join(prices, ["model", "day"], "left").select("id", "p")
 
 
 @query("price_asof", f"WITH {X.LEDGER}, {P.rates_sql()}, {_FIT} SELECT led.id, p.key, p.input, p.output, p.cached FROM led LEFT JOIN p USING (id)")

@@ -39,8 +39,7 @@ def tile_repeat(spark, sf, n: int = 3):
 @query("blit", f"WITH {X.PIXELS}, {X.FRAMES}, n AS (SELECT p.*, f.frame_ix FROM pix p JOIN frm f USING (image_id)) SELECT t.image_id, t.x, t.y, coalesce(u.r, t.r) AS r, coalesce(u.g, t.g) AS g, coalesce(u.b, t.b) AS b, coalesce(u.a, t.a) AS a FROM n t LEFT JOIN n u ON u.action = t.action AND u.frame_ix = t.frame_ix - 1 AND t.x = u.x + 2 AND t.y = u.y + 1")
 def blit(spark, sf, dx: int = 2, dy: int = 1):
     """The frame before copied over each frame at an offset, clipped, without blending."""
-    w = Window.partitionBy("action").orderBy("image_id")
-    d = X.packed(spark, sf).select("image_id", "data", F.lag("data").over(w).alias("low")).select("image_id", "data", "low", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    d = X.in_sequence(X.packed(spark, sf), "data").select("image_id", "data", "low", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
     x, y = F.col("k") % 4, F.floor(F.col("k") / 4).cast("int")
     inside = (x - dx >= 0) & (y - dy >= 0) & F.col("low").isNotNull()
     p = ((y - dy) * 4 + x - dx) * 4

@@ -154,8 +154,7 @@ def normalise_pair(spark, sf, height: int = 128):
     """Where a frame and the one before it lie on a common canvas once both are cut to their art and as tall as each other."""
     b = bounds(X.pixels(spark, sf), 128).where("x0 is not null").select("image_id", F.greatest(F.lit(1), F.floor(F.col("width") * (float(height) / F.col("height")) + 0.5)).alias("w"))
     f = X.packed(spark, sf).select("image_id", "action").join(b, "image_id", "left")
-    w = Window.partitionBy("action").orderBy("image_id")
-    d = f.withColumn("low", F.lag("w").over(w)).where("w is not null and low is not null")
+    d = X.in_sequence(f, "w").where("w is not null and low is not null")
     both = F.greatest("w", "low")
     return d.select("image_id", both.alias("width"), F.floor((both - F.col("w")) / 2).alias("x"), F.floor((both - F.col("low")) / 2).alias("x_before"))
 

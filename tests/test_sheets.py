@@ -57,3 +57,20 @@ def test_terrain_coverage(spark):
 def test_terrain_text():
     t = gates.terrain_text()
     assert t.count("/0 = 0\n") == 47 and t.count("peering_bit") == sum(bin(k).count("1") for k in gates.KEYS)
+
+
+def test_chunks_hand_frames_on(spark, monkeypatch):
+    """Actions over many chunks, some of them without a frame of the action: as one window over the action has it."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tessera.plans import fixtures as X
+
+    d = spark.createDataFrame([(i, a, None if i % 11 == 0 else f"p{i}") for i in range(500) for a in ([1, 2, None][i % 3],) if not 100 < i < 260 or a == 2], "image_id bigint, action bigint, v string")
+    w = Window.partitionBy("action").orderBy("image_id")
+    want = d.select("image_id", (F.row_number().over(w) - 1).cast("long").alias("frame_ix"), F.lag("v").over(w).alias("low"))
+    monkeypatch.setattr(X, "CHUNK", 16)
+    got = X.in_sequence(d, "v")
+    assert got.columns == ["image_id", "action", "v", "low", "frame_ix"]
+    assert sorted(map(tuple, got.select("image_id", "frame_ix", "low").collect())) == sorted(map(tuple, want.collect()))
+    assert X.in_sequence(d).columns == ["image_id", "action", "v", "frame_ix"]
