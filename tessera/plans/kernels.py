@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import curves, outlines, quantise, regions
+from tessera.operators import curves, drawing, outlines, quantise, regions, scene
 from tessera.plans import fixtures as X
 from tessera.plans.registry import query
 from tessera.sources import animations, jpeg, png
@@ -146,3 +146,52 @@ def _outline(m):
 def trace_outlines(spark, sf):
     """The smooth outline of each grey picture as cubic path text."""
     return each(grey8(spark, sf), _outline, "loops int, area double, curves int, d string", 8, 1)
+
+
+def _silhouette(m):
+    big = np.zeros((32, 32, 4), np.uint8)
+    big[..., 3] = np.repeat(np.repeat(m[..., 0], 4, 0), 4, 1)
+    loops = drawing.silhouettes(big, budget=16)
+    fit = drawing.shape_fit(big, loops)
+    return len(loops), max(map(len, loops), default=0), fit["art"], fit["covers"], fit["missed"], fit["extra"], fit["fit"]
+
+
+@query("silhouette_fit")
+def silhouette_fit(spark, sf):
+    """Outlines of each grey picture's bright parts, four times its size, in 16 points at most, and how well they fit."""
+    return each(grey8(spark, sf), _silhouette, "shapes int, points int, art bigint, covers double, missed double, extra double, fit double", 8, 1)
+
+
+def _drawn(m):
+    v = m.reshape(-1).astype(int).tolist()
+    spec = {
+        "canvas": (16, 16), "duration": 200, "layers": [{"id": "back", "paths": ["a"]}, {"id": "front", "pivot": (8, 8), "paths": ["b"]}],
+        "animate": [{"target": "front", "for": 100, "rotate": (0, v[0] % 90)}, {"target": "back", "for": 200, "translateX": (0, v[1] % 8), "opacity": (1, v[2] / 255)}],
+    }
+    shapes = {"a": ("M2 2H14V14H2Z", tuple(v[3:6]), 1.0), "b": (f"M4 4L12 {4 + v[6] % 4}C12 8 10 12 4 12Z", tuple(v[7:10]), 0.75)}
+    s = scene.build(spec)
+    frames = {t: drawing.draw(s, shapes, t) for t in (0, 100, 200)}
+    moved = drawing.worst_difference(lambda t: frames[0], frames.get, (100, 200))
+    return [hashlib.sha256(f.tobytes()).hexdigest()[:16] for f in frames.values()], int(frames[0][..., 3].sum()), moved["gap"], moved["share"], moved["at"]
+
+
+@query("scene_frames")
+def scene_frames(spark, sf):
+    """A scene of two layers drawn at its start, middle and end, and how far it moves from its start."""
+    return each(X.packed(spark, sf), _drawn, "frames array<string>, ink bigint, gap int, share double, at int")
+
+
+def _shared(pdf):
+    """One palette over a sheet's frames, from a stride of its opaque pixels where there are very many."""
+    p = np.stack([np.asarray(d, np.uint8) for d in pdf.sort_values("image_id")["data"]]).reshape(-1, 4)
+    rgb = p[p[:, 3] >= 128][:, :3]
+    rgb = rgb[:: max(1, len(rgb) // 60_000)]
+    colours = quantise.median_cut(rgb, 8).tolist() if len(rgb) else []
+    return pdf[["action", "sheet"]].head(1).assign(palette=[["#%02x%02x%02x" % tuple(c) for c in colours]], frames=len(pdf))
+
+
+@query("shared_palette")
+def shared_palette(spark, sf, cells: int = 256):
+    """Eight colours for all frames of a sheet, so that none flickers between them; a sheet is a run of an action's ids."""
+    d = X.packed(spark, sf).withColumn("sheet", F.floor(F.col("image_id") / cells))
+    return d.groupBy("action", "sheet").applyInPandas(_shared, "action bigint, sheet bigint, palette array<string>, frames bigint")
