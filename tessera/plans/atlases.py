@@ -10,8 +10,8 @@ from tessera.functions import colour as C
 from tessera.functions.numbers import half_up
 from tessera.plans import fixtures as X
 from tessera.plans.registry import query
-from tessera.plans.terrain import CORNERS, touching
-from tessera.plans.text import brief, section
+from tessera.plans.terrain import CORNERS, _pairs_sql, touching
+from tessera.plans.text import _HEX, brief, section
 
 LAB = "struct<L:double,a:double,b:double>"
 
@@ -69,7 +69,16 @@ def palette_delta(spark, sf):
     return d.select("image_id", F.when((F.size("mine") > 0) & (F.size("theirs") > 0), half_up(total / weight, 2)).alias("delta"))
 
 
-@query("slice_strip")
+@query(
+    "slice_strip",
+    """WITH smp AS (SELECT vec_id AS image_id, k % 16 AS x, greatest(0, least(255, floor(CAST(embedding[k + 1] AS DOUBLE) * 512 + 128 + 0.5))) AS v FROM embeddings, (SELECT unnest(range(0, 64)) AS k)),
+    ink AS (SELECT image_id, x FROM smp GROUP BY image_id, x HAVING max(v) >= 170), g AS (SELECT image_id, x, CASE WHEN x - lag(x) OVER w < 3 THEN 0 ELSE 1 END AS new FROM ink WINDOW w AS (PARTITION BY image_id ORDER BY x)),
+    u AS (SELECT image_id, x, sum(new) OVER (PARTITION BY image_id ORDER BY x) AS run FROM g), runs AS (SELECT image_id, run, min(x) AS a, max(x) + 1 AS b FROM u GROUP BY image_id, run), n AS (SELECT image_id, count(*) AS n FROM runs GROUP BY image_id),
+    gap AS (SELECT image_id, run, lead(a) OVER (PARTITION BY image_id ORDER BY run) - b AS w FROM runs), cut AS (SELECT image_id, run FROM gap WHERE w IS NOT NULL QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY w DESC, run DESC) <= 2),
+    m AS (SELECT r.image_id, (SELECT count(*) FROM cut c WHERE c.image_id = r.image_id AND c.run < r.run) AS cell, r.a, r.b FROM runs r)
+    SELECT n.image_id, n AS found, CASE WHEN n = 3 THEN 'gaps' ELSE 'merged' END AS method, cell, min(a) AS start, max(b) AS stop FROM m JOIN n USING (image_id) WHERE n >= 3 GROUP BY n.image_id, n, cell
+    UNION ALL SELECT e.vec_id, coalesce(n, 0), 'equal', cell, a, b FROM embeddings e LEFT JOIN n ON n.image_id = e.vec_id, (VALUES (0, 0, 5), (1, 5, 11), (2, 11, 16)) q(cell, a, b) WHERE coalesce(n, 0) < 3""",
+)
 def slice_strip(spark, sf, count: int = 3):
     """A strip of 16 columns cut into `count` cells: by its gaps, by merging over the narrowest gaps, or into equal parts."""
     ink = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda x: F.exists(F.sequence(F.lit(0), F.lit(3)), lambda y: F.get("data", y * 16 + x) >= 170))
@@ -122,7 +131,7 @@ def terrain_atlas(spark, sf, size: int = 16):
     return d.where(F.substring("bits", F.col("i") + 1, F.lit(1)) == "1").select("k", (F.col("i") % size).alias("x"), F.floor(F.col("i") / size).alias("y"))
 
 
-@query("terrain_joins")
+@query("terrain_joins", f"SELECT across, a, b, true AS joins FROM ({_pairs_sql(True)}) q")
 def terrain_joins(spark, sf, size: int = 16):
     """For every pair that can touch, whether the pixels along the shared edge are solid in both or in neither."""
     p = terrain_atlas(spark, sf, size)
@@ -142,7 +151,10 @@ def terrain_joins(spark, sf, size: int = 16):
 FILLER = ("for", "the", "a", "an", "and", "with", "only", "is", "are", "of", "on", "in", "as", "to", "where", "when", "its", "it", "inside", "use", "used", "plus", "or", "both", "any", "all")
 
 
-@query("palette_names")
+_WORDS = "list_filter(regexp_extract_all(lower('Deep ' || p_type), '[a-z][a-z-]*'), lambda w: w NOT IN (" + ", ".join(f"'{w}'" for w in FILLER) + "))"
+
+
+@query("palette_names", f"SELECT p_partkey AS id, '#' || {_HEX} AS hex, array_to_string(list_slice({_WORDS}, greatest(1, len({_WORDS}) - 1), len({_WORDS})), '-') AS name FROM part UNION ALL SELECT p_partkey, '#aabbcc', 'colour-2' FROM part")
 def palette_names(spark, sf):
     """A name for each colour of a brief: the last two words before it, without fillers, within its clause; numbered on repeats."""
     sec = section(brief(), "Palette")
