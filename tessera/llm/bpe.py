@@ -12,6 +12,7 @@ import hashlib
 import json
 import re
 import unicodedata
+from collections.abc import Collection
 from functools import cached_property
 
 import numpy as np
@@ -23,8 +24,8 @@ from tessera.llm.common import map_rows
 NONE = np.int64(2**62)
 #: Words with more symbols than this are merged one at a time.
 ROWS_UP_TO = 256
-#: Words remembered between batches by a Python worker: two generations of this many.
-REMEMBERED = 60_000
+#: Words remembered between batches by a Python worker: two generations of this many, or of a group's words.
+REMEMBERED = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -216,27 +217,37 @@ class Bpe:
 
     def remember(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
         """For each word: the number of its ids, the ids and their decoding as text."""
-        new, old = self._new, self._old
-        got = {x: hit for x in words if (hit := new.get(x) or old.get(x))}
-        todo = [x for x in words if x not in got]
-        plain = [x for x in todo if x not in self.special]
-        made = dict(zip(plain, self.encode_words([x.encode() for x in plain]), strict=True))
-        made |= {x: [self.special[x]] for x in todo if x in self.special}
-        for x, ids in made.items():
-            got[x] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        new, old, got, add, todo = self._new, self._old, {}, {}, []
         for x in words:
-            if len(new) >= REMEMBERED:
-                self._old, self._new = new, {}
-                new = self._new
-            new[x] = got[x]
+            hit = new.get(x)
+            if hit is None:
+                hit = old.get(x)
+                if hit is None:
+                    todo.append(x)
+                    continue
+                add[x] = hit
+            got[x] = hit
+        written, names = self._written
+        for x, ids in zip(todo, self._encode_set(todo), strict=True):
+            got[x] = add[x] = (len(ids), " ".join([written[i] for i in ids]), " ".join([names[i] for i in ids]))
+        if len(new) + len(add) > REMEMBERED:
+            self._old, self._new = new, add
+        else:
+            new.update(add)
         return got
 
+    @cached_property
+    def _written(self) -> tuple[list[str], list[str]]:
+        """Each id as decimal text, and its token's string."""
+        ids = range(max(self.names) + 1)
+        return [str(i) for i in ids], [self.names.get(i, "") for i in ids]
+
     def encode(self, text: str | None) -> list[int]:
         words = self.split(text or "")
         of = dict(zip(set(words), self._encode_set(set(words)), strict=True))
         return [i for x in words for i in of[x]]
 
-    def _encode_set(self, words: set[str]) -> list[list[int]]:
+    def _encode_set(self, words: Collection[str]) -> list[list[int]]:
         plain = [x for x in words if x not in self.special]
         of = dict(zip(plain, self.encode_words([x.encode() for x in plain]), strict=True))
         return [of[x] if x in of else [self.special[x]] for x in words]
@@ -259,9 +270,8 @@ class Bpe:
                 b += 1
             of = self.remember(words)
             for doc in split[a:b]:
-                got = [of[x] for x in doc]
-                ids, text = " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
-                out.append((sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                n, ids, text = zip(*[of[x] for x in doc], strict=True) if doc else ((), (), ())
+                out.append((sum(n), *(hashlib.sha256(" ".join(v).encode()).hexdigest() for v in (ids, text))))
             a = b
         return out
 
