@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import _hadoop, discard, map_rows, materialise, shared_dir
+from tessera.llm.common import _hadoop, discard, map_rows, materialise, tables_dir
 
 
 class Rule(NamedTuple):
@@ -93,10 +93,13 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
 
 
 class Ledger:
-    """Findings of all versions scanned so far, a folder of one Parquet table a commit; a commit is there when it is whole."""
+    """Findings of all versions scanned so far, a folder of one Parquet table a commit; a commit is there when it is whole.
+
+    A ledger without a path of its own goes with the application's tables.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or f"{shared_dir(spark)}/tessera/ledger-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, path or f"{tables_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
     def commits(self) -> list[str]:
         at, store = _hadoop(self.spark, self.path)
