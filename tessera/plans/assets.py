@@ -9,8 +9,8 @@ from tessera.functions import colour as C
 from tessera.functions.numbers import byte, byte_sql, half_up, half_up_sql, upper_median, upper_median_sql
 from tessera.plans import fixtures as X
 from tessera.plans.compare import neighbours
-from tessera.plans.measure import bounds
-from tessera.plans.registry import query
+from tessera.plans.measure import bounds  # registers ink_runs
+from tessera.plans.registry import ORACLES, QUERIES, query
 
 _ACT = f"{X.FRAMES}, act AS (SELECT action, count(*) AS n FROM frm GROUP BY action)"
 
@@ -194,17 +194,29 @@ def _steps(spark, sf):
 _TWO = f"{X.PIXELS}, {X.FRAMES}, n AS (SELECT p.*, f.frame_ix FROM pix p JOIN frm f USING (image_id)), two AS (SELECT t.image_id, t.action, t.a, u.a AS a2 FROM n t JOIN n u ON t.action = u.action AND t.frame_ix = u.frame_ix + 1 AND t.i = u.i), st AS (SELECT image_id, action, {_STEP} AS iou FROM two GROUP BY image_id, action)"
 
 
-@query("frame_badness", f"WITH {_TWO} SELECT image_id, {half_up_sql('CASE WHEN iou < 0.5 THEN 10 ELSE 0 END + 1 - iou', 4)} AS badness FROM st")
+@query(
+    "frame_badness",
+    f"WITH f AS (WITH {X.FRAMES} SELECT * FROM frm), i AS ({ORACLES['iou_prev']}), m AS ({ORACLES['action_measure']}) SELECT f.image_id, {half_up_sql('CASE WHEN m.flag <> \'\' THEN 10 ELSE 0 END + coalesce(1 - i.iou, 0) + abs(coalesce(m.height_ratio, 1) - 1)', 4)} AS badness FROM f JOIN m ON m.action = f.action AND m.frame_ix = f.frame_ix LEFT JOIN i ON i.image_id = f.image_id",
+)
 def frame_badness(spark, sf):
-    """Ten for a hard flag, and what the shape lacks of its neighbour's."""
-    return _steps(spark, sf).select("image_id", half_up(F.when(F.col("iou") < 0.5, 10).otherwise(0) + 1 - F.col("iou"), 4).alias("badness"))
+    """Ten for a frame that is empty or the wrong size, what its shape lacks of the one before, and how far its height is off."""
+    d = X.frames(spark, sf).join(QUERIES["iou_prev"](spark, sf), "image_id", "left").join(QUERIES["action_measure"](spark, sf), ["action", "frame_ix"])
+    bad = F.when(F.col("flag") != "", 10).otherwise(0) + F.coalesce(1 - F.col("iou"), F.lit(0.0)) + F.abs(F.coalesce("height_ratio", F.lit(1.0)) - 1)
+    return d.select("image_id", half_up(bad, 4).alias("badness"))
 
 
-@query("attempt_score", f"WITH {_TWO} SELECT action, {half_up_sql('count(*) FILTER (iou < 0.5) * 10 + count(*) FILTER (iou < 0.45) * 3 + CASE WHEN action % 2 = 0 THEN 0 ELSE 20 END - sum(iou) / count(*)', 3)} AS score FROM st GROUP BY action")
+@query(
+    "attempt_score",
+    f"WITH m AS (SELECT action, count(*) AS frames, count(*) FILTER (flag <> '') AS flagged FROM ({ORACLES['action_measure']}) q GROUP BY action), s AS ({ORACLES['smoothness']}), r AS (SELECT action, count(*) AS runs FROM ({ORACLES['ink_runs']}) q GROUP BY action) SELECT m.action, {half_up_sql('flagged * 10 + coalesce(s.jumps, 0) * 3 + CASE WHEN coalesce(r.runs, 0) = frames THEN 0 ELSE 20 END - coalesce(s.mean, 0)', 3)} AS score FROM m LEFT JOIN s ON s.action = m.action LEFT JOIN r ON r.action = m.action",
+)
 def attempt_score(spark, sf):
-    g = _steps(spark, sf).groupBy("action")
-    score = F.count_if(F.col("iou") < 0.5) * 10 + F.count_if(F.col("iou") < 0.45) * 3 - F.sum("iou") / F.count("*")
-    return g.agg(score.alias("s")).select("action", half_up(F.col("s") + F.when(F.col("action") % 2 == 0, 0).otherwise(20), 3).alias("score"))
+    """Lower is better: flagged frames, jumps, a strip whose inked runs are not one a frame, less the mean overlap of neighbours."""
+    m = QUERIES["action_measure"](spark, sf).groupBy("action").agg(F.count("*").alias("frames"), F.count_if(F.col("flag") != "").alias("flagged"))
+    runs = QUERIES["ink_runs"](spark, sf).groupBy("action").agg(F.count("*").alias("runs"))
+    d = m.join(QUERIES["smoothness"](spark, sf), "action", "left").join(runs, "action", "left")
+    apart = F.when(F.coalesce("runs", F.lit(0)) == F.col("frames"), 0).otherwise(20)
+    score = F.col("flagged") * 10 + F.coalesce("jumps", F.lit(0)) * 3 + apart - F.coalesce("mean", F.lit(0.0))
+    return d.select("action", half_up(score, 3).alias("score"))
 
 
 @query("compare_frame", f"WITH {_TWO}, h AS (SELECT image_id, max(y) FILTER (a >= 160) - min(y) FILTER (a >= 160) + 1 AS h FROM pix GROUP BY image_id) SELECT st.image_id, {half_up_sql('iou', 3)} AS iou, h AS height, concat_ws(',', CASE WHEN h IS NULL THEN 'empty' END, CASE WHEN {half_up_sql('iou', 3)} < 0.5 THEN 'jump' END, CASE WHEN h < 4 THEN 'size' END) AS flags FROM st JOIN h USING (image_id)")
