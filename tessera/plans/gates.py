@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import half_up
@@ -17,17 +17,70 @@ KEYS = [k for k in range(256) if all(not k >> b & 1 or k & need == need for b, n
 DECLARED = [[n for n in NEIGHBOURS if k >> BIT[n] & 1] for k in KEYS]
 
 
+def _cell(i: int, bits: list[str]) -> list[str]:
+    """The lines that declare the i-th cell, put it in the terrain and give its bits; eight cells a row."""
+    at = f"{i % 8}:{i // 8}/0"
+    return [f"{at} = 0", f"{at}/terrain_set = 0", f"{at}/terrain = 0", *(f"{at}/terrains_peering_bit/{b} = 0" for b in bits)]
+
+
 def terrain_text() -> str:
-    """The declarations of a whole terrain set, eight cells a row: a constant of some ten kilobytes."""
-    out = ["terrain_set_0/mode = 0"]
-    for i, bits in enumerate(DECLARED):
-        at = f"{i % 8}:{i // 8}/0"
-        out += [f"{at} = 0", f"{at}/terrain_set = 0", f"{at}/terrain = 0", *(f"{at}/terrains_peering_bit/{b} = 0" for b in bits)]
-    return "\n".join(out) + "\n"
+    """The declarations of a whole terrain set: a constant of some ten kilobytes."""
+    return "\n".join(["terrain_set_0/mode = 0", *(line for i, bits in enumerate(DECLARED) for line in _cell(i, bits))]) + "\n"
+
+
+def _texts(k: Column) -> Column:
+    """The terrain text less a cell's first bit, nothing, a cell's terrain or a cell, by k % 4; the cell by k % 47."""
+    whole, cuts = "\n" + terrain_text(), []
+    for n in range(4 * len(KEYS)):
+        cell = _cell(n % len(KEYS), DECLARED[n % len(KEYS)])
+        gone = ([*cell, ""][3], "", cell[2], cell[0])[n % 4]
+        cuts.append((whole.index(f"\n{gone}\n"), len(gone) + 1) if gone else (0, 0))
+    start, size = (F.get(F.lit([cut[j] for cut in cuts]), (k % len(cuts)).cast("int")) for j in (0, 1))
+    # Cut as bytes: the text is ASCII, and characters would be counted from its beginning.
+    t = F.lit(whole.encode())
+    return F.concat(F.substr(t, F.lit(1), start), F.substr(t, start + size + 1, F.lit(len(whole)))).cast("string")
+
 
+#: How the line that declares a cell ends, and the set's text cut there: each stretch ends in the next cell's place.
+DECLARES = "/0 = 0\n"
+STRETCHES = f"{terrain_text()}\n".split(DECLARES)
 
-def _found(t: Column, pattern: str, group: int = 1) -> Column:
-    return F.regexp_extract_all(t, F.lit(f"(?m){pattern}"), F.lit(group))
+
+def check_tiles(d: DataFrame) -> DataFrame:
+    """(id, tiles, outside, wrong, ok) of the terrain texts of d (id, t).
+
+    A text is cut where it declares a cell. Stretches that are the set's own need no further look; lines of the others,
+    and of the set's that are missing, are taken from one another. So a text takes time by its length.
+    """
+    own, ends = F.lit(STRETCHES), "[\n\r\u0085\u2028\u2029]"
+    d = d.select("id", F.split(F.concat("t", F.lit("\n")), DECLARES).alias("cut"))
+    # Most stretches are where the set has them and end in a cell's place; the last, which ends in none, goes with the others.
+    apart = F.filter(F.arrays_zip(own.alias("own"), F.col("cut")), lambda z: ~z["own"].eqNullSafe(z["cut"]) | (z["own"] == STRETCHES[-1]))
+    d = d.select("id", "cut", apart.alias("apart"))
+    less, more = (F.array_compact(F.col("apart")[side]) for side in ("own", "cut"))
+    d = d.select("id", "cut", (F.greatest(F.size("cut"), F.size(own)) - F.size("apart")).alias("same"), more.alias("other"), F.array_except(less, more).alias("less"), F.array_except(more, less).alias("more"))
+    # Another stretch ends in a place too, unless a line ends in another way or only ends like a cell's.
+    places = F.col("same") + F.size(F.filter("other", lambda s: F.substring_index(s, "\n", -1).rlike(r"^\d+:\d+$")))
+    tiles = F.when(F.array_join("more", "").rlike("[\r\u0085\u2028\u2029]"), F.regexp_count(F.array_join("cut", DECLARES), F.lit(r"(?m)^\d+:\d+/0 = 0$"))).otherwise(places)
+    lines = lambda a: F.split(F.concat(F.array_join(a, DECLARES), F.lit(DECLARES)), ends)
+    d = d.select("id", tiles.cast("long").alias("tiles"), lines("less").alias("less"), lines("more").alias("more"))
+    # Lines of the set that the text lacks, and lines of the text that the set lacks.
+    d = d.select("id", "tiles", F.array_except("less", "more").alias("lost"), F.array_except("more", "less").alias("odd"))
+    every = F.lit([line for i, bits in enumerate(DECLARED) for line in _cell(i, bits)])
+    d = d.withColumn("odd", F.when(F.size("odd") > 0, F.array_except("odd", every)).otherwise(F.col("odd")))
+
+    def at(ls, *of):
+        """The cells of those of the lines that are of these kinds."""
+        return F.transform(F.filter(ls, lambda s: s.rlike(rf"^\d+:\d+/0({'|'.join(of)}) = 0$")), lambda s: F.substring_index(s, "/", 1))
+
+    painted, bit = ("/terrain_set", "/terrain"), r"/terrains_peering_bit/\w+"
+    unpainted = F.array_except(at("odd", ""), F.array_intersect(*(at("odd", of) for of in painted)))
+    outside = F.array_union(F.array_except(at("lost", *painted), at("lost", "")), unpainted)
+    # Bits of a cell that is not declared count for nothing; a cell of the set that is not declared is wrong as it is.
+    cells = F.lit([f"{i % 8}:{i // 8}" for i in range(len(KEYS))])
+    wrong = F.array_union(at("lost", "", bit), F.array_intersect(at("odd", bit), F.concat(cells, at("odd", ""))))
+    d = d.select("id", "tiles", F.size(outside).cast("long").alias("outside"), F.size(wrong).cast("long").alias("wrong"))
+    return d.withColumn("ok", (F.col("tiles") == len(KEYS)) & (F.col("outside") == 0) & (F.col("wrong") == 0))
 
 
 @query("recheck_tile_set", f"WITH v AS (SELECT row_number() OVER (ORDER BY k) - 1 AS i, bit_count(k) AS n FROM (SELECT unnest(range(0, 256)) AS k) q WHERE {_LEGAL}), p AS (SELECT p_partkey AS id, p_partkey % 4 AS m, p_partkey % 47 AS i FROM part) SELECT id, CASE WHEN m = 3 THEN 46 ELSE 47 END AS tiles, CAST(m = 2 AS BIGINT) AS outside, CAST(CASE m WHEN 0 THEN n > 0 WHEN 3 THEN true ELSE false END AS BIGINT) AS wrong, CASE m WHEN 1 THEN true WHEN 0 THEN n = 0 ELSE false END AS ok FROM p JOIN v USING (i)")
@@ -36,23 +89,9 @@ def recheck_tile_set(spark, sf):
 
     Of the texts a quarter lack a bit, a quarter are whole, a quarter lack a cell's terrain and a quarter a cell.
     """
-    k = F.col("p_partkey")
-    i = (k % 47).cast("int")
-    at = text(i % 8, ":", F.floor(i / 8), "/0")
-    first = F.get(F.array(*(F.lit(b[0] if b else "-") for b in DECLARED)), i)
-    gone = F.when(k % 4 == 0, F.concat(at, F.lit("/terrains_peering_bit/"), first, F.lit(" = 0\n"))).when(k % 4 == 2, F.concat(at, F.lit("/terrain = 0\n"))).when(k % 4 == 3, F.concat(at, F.lit(" = 0\n"))).otherwise("-")
-    d = X.table(spark, sf, "part").select(k.alias("id"), F.replace(F.concat(F.lit("\n"), F.lit(terrain_text())), F.concat(F.lit("\n"), gone), F.lit("\n")).alias("t"))
-    t = F.col("t")
-    tiles = _found(t, r"^(\d+:\d+)/0 = 0$")
-    named = F.array_intersect(_found(t, r"^(\d+:\d+)/0/terrain_set = 0$"), _found(t, r"^(\d+:\d+)/0/terrain = 0$"))
-    d = d.select("id", tiles.alias("ts"), named.alias("named"), _found(t, r"^(\d+:\d+/0/terrains_peering_bit/\w+) = 0$").alias("bits"))
-    want = F.array(*(F.lit(f"{i % 8}:{i // 8}/0/terrains_peering_bit/{b}") for i, bits in enumerate(DECLARED) for b in bits))
-    own = F.filter("bits", lambda b: F.array_contains("ts", F.substring_index(b, "/", 1)))
-    other = F.concat(F.array_except(want, own), F.array_except(own, want))
-    cells = F.array(*(F.lit(f"{i % 8}:{i // 8}") for i in range(len(KEYS))))
-    wrong = F.array_union(F.array_distinct(F.transform(other, lambda b: F.substring_index(b, "/", 1))), F.array_except(cells, "ts"))
-    d = d.select("id", F.size("ts").cast("long").alias("tiles"), F.size(F.array_except("ts", "named")).cast("long").alias("outside"), F.size(wrong).cast("long").alias("wrong"))
-    return d.withColumn("ok", (F.col("tiles") == len(KEYS)) & (F.col("outside") == 0) & (F.col("wrong") == 0))
+    # A million ids are a few megabytes, which are read in a task or two; the texts made of them are ten gigabytes.
+    ids = X.table(spark, sf, "part").select(F.col("p_partkey").alias("id")).repartition(4 * spark.sparkContext.defaultParallelism)
+    return check_tiles(ids.select("id", _texts(F.col("id")).alias("t")))
 
 
 def pairs(t: Column) -> Column:

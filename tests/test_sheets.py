@@ -1,6 +1,10 @@
 """Trimmed atlases, cell geometry and terrain faults against expected values."""
 
+import random
+import re
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.plans import gates, sheets
 from tessera.plans.atlases import cell_mask
@@ -74,3 +78,64 @@ def test_chunks_hand_frames_on(spark, monkeypatch):
     assert got.columns == ["image_id", "action", "v", "low", "frame_ix"]
     assert sorted(map(tuple, got.select("image_id", "frame_ix", "low").collect())) == sorted(map(tuple, want.collect()))
     assert X.in_sequence(d).columns == ["image_id", "action", "v", "frame_ix"]
+
+
+def _tiles_by_hand(t):
+    """Tiles, cells out of the terrain and wrong cells of a terrain text, line by line."""
+    ls = re.split("\r\n|[\n\r\u0085\u2028\u2029]", t)
+    of = lambda kind: [m[1] for s in ls if (m := re.fullmatch(rf"([0-9]+:[0-9]+)/0{kind} = 0", s))]
+    bits = {(m[1], m[2]) for s in ls if (m := re.fullmatch(r"([0-9]+:[0-9]+)/0/terrains_peering_bit/([A-Za-z0-9_]+) = 0", s))}
+    want = {(f"{i % 8}:{i // 8}", b) for i, bs in enumerate(gates.DECLARED) for b in bs}
+    cells, ts = {f"{i % 8}:{i // 8}" for i in range(47)}, of("")
+    own = {b for b in bits if b[0] in ts}
+    return len(ts), len(set(ts) - (set(of("/terrain_set")) & set(of("/terrain")))), len({c for c, _ in own ^ want} | cells - set(ts))
+
+
+def _odd_texts():
+    whole = gates.terrain_text()
+    ls = whole.split("\n")
+    tile = [i for i, s in enumerate(ls) if re.fullmatch(r"\d+:\d+/0 = 0", s)]
+    out = ["", "\n", "0:0/0 = 0", whole, whole[:-1], whole * 2, "\n" + whole, whole.replace("\n", "\r\n"), whole.replace("\n", "\u2028", 9), whole.replace("\n", "\r")]
+    out += [whole.replace("\n2:1/0 = 0\n", end) for end in ("\r2:1/0 = 0\n", "\n2:1/0 = 0\r\n", "\u00852:1/0 = 0\n", "\n2:1/0 = 0 \n", "\nx2:1/0 = 0\n", "\n2:1/0 = 1\n")]
+    out += [whole + more for more in ("9:9/0 = 0\n", "9:9/0 = 0", "x9:9/0 = 0\n" * 2, "/0 = 0\n", "9:9/0/terrains_peering_bit/top_side = 0\n", "9:9/0 = 0\n9:9/0/terrain = 0\n9:9/0/terrain_set = 0\n")]
+    out += [whole + f"{c}/0/terrains_peering_bit/{b} = 0\n" + end for c in ("0:0", "6:5", "9:9") for b in ("top_side", "other") for end in ("", "9:9/0 = 0\n", "9:9/0 = 0\r9:9/0 = 0\n")]
+    draw = random.Random(7)
+    for _ in range(150):
+        a = list(ls)
+        for _ in range(draw.randint(1, 4)):
+            at, to = draw.choice([draw.choice(tile), draw.randrange(len(a))]), draw.randrange(len(a))
+            line = a[at % len(a)]
+            match draw.randrange(5):
+                case 0: del a[at % len(a)]  # noqa: E701
+                case 1: a.insert(to, line)  # noqa: E701
+                case 2: a.insert(to, a.pop(at % len(a)))  # noqa: E701
+                case 3: a[to] = re.sub(r"^\d", str(draw.randrange(10)), line)  # noqa: E701
+                case 4: a[to] += draw.choice(["\r", " ", "\u2028" + line, "\r" + line])  # noqa: E701
+        out.append("\n".join(a))
+    draw.shuffle(ls)
+    return [*out, "\n".join(ls)]
+
+
+def test_check_tiles_of_odd_texts(spark):
+    texts = _odd_texts()
+    rows = gates.check_tiles(spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")).collect()
+    got = {r.id: (r.tiles, r.outside, r.wrong) for r in rows}
+    want = {i: _tiles_by_hand(t) for i, t in enumerate(texts)}
+    assert {i: (texts[i][-200:], got[i], want[i]) for i in want if got[i] != want[i]} == {}
+    assert all(r.ok == (want[r.id] == (47, 0, 0)) for r in rows) and 1 < sum(r.ok for r in rows) < len(rows)
+
+
+def test_terrain_texts(spark):
+    whole = "\n" + gates.terrain_text()
+    for k, t in spark.range(188 * 2).select("id", gates._texts(F.col("id"))).collect():
+        at, bits = f"{k % 47 % 8}:{k % 47 // 8}/0", gates.DECLARED[k % 47]
+        gone = (f"{at}/terrains_peering_bit/{bits[0] if bits else '-'} = 0\n", "-", f"{at}/terrain = 0\n", f"{at} = 0\n")[k % 4]
+        assert t == whole.replace("\n" + gone, "\n"), k
+
+
+def test_recheck_tile_set_shares_out_its_texts(spark, tmp_path):
+    # A table of one row group is read by one task; the texts made of its ids have to be shared out.
+    spark.range(188).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    d = gates.recheck_tile_set(spark, str(tmp_path))
+    assert d.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert d.where("ok").count() == 48 and d.distinct().count() == 188
