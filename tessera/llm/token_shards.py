@@ -25,7 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import few, materialise, shared_dir
@@ -36,8 +36,9 @@ STRIDE, SHARD_SLOTS, END, PAD = 2048, 1024, 0xFE, 0xFF
 ROUNDS = 4
 #: Of the query: bytes of an id, and ids of a record. A document fills its last record up, half a record on average.
 ID_BYTES, ID_STRIDE = 2, 512
-#: Bytes of tokens that a partition of whole shards should hold, and that an Arrow batch may grow to.
-PARTITION_BYTES, BATCH_BYTES = 128 << 20, 4 << 20
+#: Bytes of tokens that a partition of whole shards should hold, that one should hold when they are read back, and that
+#: an Arrow batch may grow to.
+PARTITION_BYTES, READ_BYTES, BATCH_BYTES = 128 << 20, 32 << 20, 4 << 20
 INDEX = ("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens")
 
 
@@ -205,72 +206,125 @@ def text_packer(ranks_path: str, pattern: str, send=None) -> Callable[[list], li
     return pack
 
 
-def shard_file(folder: str, run: int, number: int) -> str:
-    """Shards are numbered within a run of slots; dense places are one run, 0."""
-    return f"{folder}/shard-{run:05d}-{number:08d}.bin"
+def shard_file(folder: str, run: int, number: int, kind: str = "shard") -> str:
+    """Shards are numbered within a run of slots; dense places are one run, 0. kind "ids": the file of its records' ids."""
+    return f"{folder}/{kind}-{run:05d}-{number:08d}.bin"
 
 
 def write(recs: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, width: int = 1) -> DataFrame:
-    """One file a shard of records() in the folder path (a URI), then manifest.json; the index, rows of INDEX, written.
+    """One file a shard of records() in the folder path (a URI), the ids of its records beside it, then manifest.json; the index, see listed().
 
     In place of records(), recs may be rows of _in_order(), whose partitions are runs that number their own records. A
-    file gets its name when it is whole, so that a task that runs again replaces it.
+    file gets its name when it is whole, so that a task that runs again replaces it. Workers write both files: a table
+    written by Spark would cost its JVM up to four processes for each file of a local folder, to set its permissions.
     """
     fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1])
     dense, size = "record" in recs.columns, stride * width
-    kind = dict(recs.dtypes)["doc_id"]
 
     def run(batches):
         store, folder = fs.FileSystem.from_uri(path)
-        now, at, out, part = None, 0, None, ""
+        now, at, out, ids, keys, part = None, 0, None, None, None, ""
+        n, last = {}, {}
 
         def close():
             if out is not None:
-                out.close()
-                store.move(part, shard_file(folder, now, (at - 1) // shard_slots))
+                for f in (out, keys, ids):
+                    f.close()
+                for kind in ("ids", "shard"):
+                    store.move(part + kind, shard_file(folder, now, (at - 1) // shard_slots, kind))
 
         for b in batches:
             runs = [0] * b.num_rows if dense else b.column("part").to_pylist()
             slots = b.column("slot").to_pylist() if dense else [None] * b.num_rows
-            held, places = b.column("record").to_pylist() if dense else _whole(b.column("tokens"), size), []
-            for of, slot, record in zip(runs, slots, held, strict=True):
-                if of != now or at % shard_slots == 0:
+            held, since = b.column("record").to_pylist() if dense else _whole(b.column("tokens"), size), 0
+            named = b.select(INDEX[3:])
+            for i, (of, slot, record) in enumerate(zip(runs, slots, held, strict=True)):
+                if of != now or at % shard_slots == 0 or (dense and slot % shard_slots == 0 and slot != at):
+                    if out is not None:
+                        keys.write_batch(named.slice(since, i - since))
                     close()
-                    at = at if of == now else (slot or 0) if dense else 0
-                    now, part = of, f"{folder}/_{uuid.uuid4().hex}"
-                    out = store.open_output_stream(part)
-                if slot is not None and slot % shard_slots == 0 and slot != at:
-                    close()
-                    at, part = slot, f"{folder}/_{uuid.uuid4().hex}"
-                    out = store.open_output_stream(part)
+                    at = slot if dense else at if of == now else 0
+                    now, part, since = of, f"{folder}/_{uuid.uuid4().hex}", i
+                    out, ids = store.open_output_stream(part + "shard"), store.open_output_stream(part + "ids")
+                    keys = pa.ipc.new_stream(ids, named.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                    if at % shard_slots:
+                        raise ValueError(f"slot {at} does not begin a shard")
                 if len(record) != size or (slot is not None and slot != at):
                     raise ValueError(f"slot {slot} of {len(record)} bytes where {at} of {size} is due")
                 out.write(record)
-                places.append(at)
+                n[of], last[of] = n.get(of, 0) + 1, max(at, last.get(of, 0))
                 at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(runs, pa.int32()), pa.array(places, pa.int64()), *(b.column(c) for c in INDEX[3:])], names=["run", "at", *INDEX[3:]])
+            if out is not None:
+                keys.write_batch(named.slice(since))
         close()
+        yield pa.RecordBatch.from_pydict({"run": pa.array(list(n), pa.int32()), "n": pa.array(list(n.values()), pa.int64()), "last": pa.array(list(last.values()), pa.int64())})
 
-    index = materialise(recs.mapInArrow(run, f"run int, at bigint, doc_id {kind}, seq int, n_tokens int"))
     # As many rows as there are partitions.
-    runs = {r["run"]: (r["n"], r["last"]) for r in index.groupBy("run").agg(F.count("*").alias("n"), F.max("at").alias("last")).collect()}
-    if any(n != last + 1 for n, last in runs.values()):
+    total, most = {}, {}
+    for r in recs.mapInArrow(run, "run int, n bigint, last bigint").collect():
+        total[r["run"]], most[r["run"]] = total.get(r["run"], 0) + r["n"], max(most.get(r["run"], 0), r["last"])
+    if any(n != most[of] + 1 for of, n in total.items()):
         raise ValueError("slots are missing")
-    counts = [runs.get(i, (0, 0))[0] for i in range(max(runs, default=-1) + 1)]
+    counts = [total.get(i, 0) for i in range(max(total, default=-1) + 1)]
     store, folder = fs.FileSystem.from_uri(path)
     with store.open_output_stream(f"{folder}/manifest.json") as f:
         f.write(json.dumps({"runs": counts, "stride": stride, "shard_slots": shard_slots, "width": width}).encode())
-    before = index.sparkSession.createDataFrame([(i, sum(counts[:i]), sum(-(-c // shard_slots) for c in counts[:i])) for i in range(len(counts))], "run int, slots bigint, shards bigint")
-    shard, offset = F.floor(F.col("at") / shard_slots), F.col("at") % shard_slots * size
-    placed = index.join(F.broadcast(before), "run")
-    return placed.select((F.col("slots") + F.col("at")).alias("slot"), (F.col("shards") + shard).alias("shard"), offset.alias("byte_offset"), *INDEX[3:], "run", shard.alias("number"))
+    return listed(recs.sparkSession, path, dict(recs.dtypes)["doc_id"])
 
 
-def resume(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(slot, tokens) from a slot on in training order, END kept and PAD left out; one seek, no record before it is read."""
+def _manifest(path: str) -> dict:
     store, folder = fs.FileSystem.from_uri(path)
     with store.open_input_stream(f"{folder}/manifest.json") as f:
-        m = json.loads(f.read())
+        return json.loads(f.read())
+
+
+def listed(spark: SparkSession, path: str, kind: str, whole: bool = False) -> DataFrame:
+    """Rows of INDEX in slot order, of all shards that write() left, with `run` and `number`, which name a shard's file; whole: with `record` instead.
+
+    kind: the type of doc_id. A partition is a stretch of whole shards, read one after another: nothing is shuffled.
+    """
+    m = _manifest(path)
+    per, size = m["shard_slots"], m["stride"] * m["width"]
+    slots, shards = (np.cumsum([0, *of], dtype=np.int64) for of in (m["runs"], [-(-n // per) for n in m["runs"]]))
+    more = "record binary" if whole else "run int, number bigint"
+    target = spark.createDataFrame([], f"slot bigint, shard bigint, byte_offset bigint, doc_id {kind}, seq int, n_tokens int, {more}").schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        (store, folder), schema, step = fs.FileSystem.from_uri(path), to_arrow_schema(target), max(1, BATCH_BYTES // size)
+        for shard in (x for b in batches for x in b.column(0).to_pylist()):
+            of = int(np.searchsorted(shards, shard, "right")) - 1
+            number = shard - int(shards[of])
+            n, first = min(per, m["runs"][of] - number * per), int(slots[of]) + number * per
+            with store.open_input_stream(shard_file(folder, of, number, "ids")) as f:
+                ids = pa.ipc.open_stream(f).read_all()
+            if len(ids) != n:
+                raise ValueError(f"shard {shard} has {len(ids)} records where {n} are due")
+            with store.open_input_stream(shard_file(folder, of, number)) as f:
+                for at in range(0, n, step):
+                    k = min(step, n - at)
+                    cols = [first + at + np.arange(k), np.full(k, shard), (at + np.arange(k)) * size]
+                    cols = [*cols, *(c.combine_chunks() for c in ids.slice(at, k).columns)]
+                    if whole:
+                        got = f.read(k * size)
+                        if len(got) != k * size:
+                            raise ValueError(f"shard {shard} is cut short")
+                        ends = pa.py_buffer(np.arange(k + 1, dtype=np.int32) * np.int32(size))
+                        cols.append(pa.Array.from_buffers(pa.binary(), k, [None, ends, pa.py_buffer(got)]))
+                    else:
+                        cols += [np.full(k, of), np.full(k, number)]
+                    cols = [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    total = int(shards[-1])
+    parts = min(total, max(spark.sparkContext.defaultParallelism, -(-int(slots[-1]) * size // READ_BYTES)))
+    return spark.range(0, total, 1, max(1, parts)).mapInArrow(run, target)
+
+
+def resume(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, tokens) from a slot on in training order, END kept and PAD left out; one seek, no record before it is read."""
+    (store, folder), m = fs.FileSystem.from_uri(path), _manifest(path)
     size, per, start = m["stride"] * m["width"], m["shard_slots"], 0
     for run, n in enumerate(m["runs"]):
         while slot < start + n:
@@ -288,7 +342,7 @@ def resume(path: str, slot: int = 0) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def read(index: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = SHARD_SLOTS, width: int = 1) -> DataFrame:
-    """Rows of INDEX and `record`, those of records() in the dense case, from write()'s index and files, in slot order."""
+    """Rows of INDEX and `record`, those of records() in the dense case, of any rows of write()'s index, from its files, in slot order."""
     schema = f"{', '.join(f'{c} {t}' for c, t in index.select(*INDEX).dtypes)}, record binary"
     target = index.sparkSession.createDataFrame([], schema).schema
 
@@ -332,9 +386,9 @@ def shards(docs: DataFrame, ranks_path: str, pattern: str, key: int = 20_26) ->
         try:
             # A byte-level id is a byte or more.
             recs = _in_order(docs, F.col("text"), F.coalesce(F.octet_length("tokens"), F.lit(0)), pack, key, ID_STRIDE, SHARD_SLOTS, ID_BYTES)
-            index = write(recs, path, ID_STRIDE, width=ID_BYTES)
+            write(recs, path, ID_STRIDE, width=ID_BYTES)
             break
         except PySparkException as e:  # a small input is split by the number of cores, which a lost executor changes
             if not left or CHANGED not in str(e):
                 raise
-    return read(index, path, ID_STRIDE, width=ID_BYTES)
+    return listed(spark, path, dict(docs.dtypes)["doc_id"], whole=True)
