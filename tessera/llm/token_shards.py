@@ -216,7 +216,7 @@ def write(recs: DataFrame, path: str, stride: int = STRIDE, shard_slots: int = S
 
     In place of records(), recs may be rows of _in_order(), whose partitions are runs that number their own records. A
     file gets its name when it is whole, so that a task that runs again replaces it. Workers write both files: a table
-    written by Spark would cost its JVM up to four processes for each file of a local folder, to set its permissions.
+    written by Spark would cost its JVM some three processes for each file of a local folder, to set its permissions.
     """
     fs.FileSystem.from_uri(path)[0].create_dir(fs.FileSystem.from_uri(path)[1])
     dense, size = "record" in recs.columns, stride * width
@@ -314,7 +314,7 @@ def listed(spark: SparkSession, path: str, kind: str, whole: bool = False) -> Da
                         cols.append(pa.Array.from_buffers(pa.binary(), k, [None, ends, pa.py_buffer(got)]))
                     else:
                         cols += [np.full(k, of), np.full(k, number)]
-                    cols = [c if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)]
+                    cols = [c.cast(t.type) if isinstance(c, pa.Array) else pa.array(c, t.type) for c, t in zip(cols, schema, strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
     total = int(shards[-1])
