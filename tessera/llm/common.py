@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,20 +59,39 @@ def tables_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, or at path, and read it back.
 
     Cuts the lineage so that a lost executor costs no recomputation of what came before, fixes the rows that later
     passes see, and gives the planner a real size.
     """
     spark = df.sparkSession
-    path = f"{tables_dir(spark)}/{uuid.uuid4().hex}"
+    path = path or f"{tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
 
 
+#: Bytes of rows, as Spark keeps them, that a file of packed() has on average.
+FILE_BYTES = 1 << 24
+
+
+def packed(df: DataFrame, path: str | None = None) -> DataFrame:
+    """As materialise(), in as few files as the bytes of df's rows need, however many tasks make the rows.
+
+    All tasks make rows and keep them on the executors' disks; fewer then write them, without a shuffle. For small rows
+    of many tasks: a file costs an executor several processes where Hadoop has no native library (see README).
+    """
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    try:
+        kept.count()
+        size = kept.select("*")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return materialise(kept.coalesce(max(1, -(-size // FILE_BYTES))), path)
+    finally:
+        kept.unpersist()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete written tables that nothing will read again."""
     for t in tables:

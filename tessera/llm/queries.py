@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, chat_format, jaccard_join, language_id, media, mixing, quality_llr, secret_scan, token_shards, toxicity
-from tessera.llm.common import fold, table
+from tessera.llm.common import fold, packed, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,11 +16,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The first version holds the documents of even crc32(doc_id as text), the second all others and null ids; texts that
     the first one held already are not scanned again. The base rules are all rules, so no spans are added to theirs.
+    The result is a written table of few files, not one for each task that reads texts.
     """
     docs = table(spark, sf_dir, "documents")
     late = F.coalesce(fold(F.col("doc_id"), 2) == 1, F.lit(True))
     findings = secret_scan.scan_history([docs.where(~late), docs.where(late)], secret_scan.Ledger(spark))
-    return secret_scan.summary(docs, findings)
+    return packed(secret_scan.summary(docs, findings))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
